@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES, MOST_BLOCKS = 8 << 20, 4096  # blocks of 8 MB of text; beyond 4096 of them blocks grow, up to LARGEST
-LARGEST = 256 << 20
+BLOCK_BYTES, MOST_BLOCKS = 8 << 20, 65536  # blocks of 8 MB of text; beyond that many of them blocks grow, up to LARGEST
+LARGEST = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

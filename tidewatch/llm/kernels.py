@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20  # bytes of text hashed at once; a longer single text is a chunk of its own
+CHUNK = 1 << 20  # bytes of text hashed at once; a longer single text is a chunk of its own
 
 _rng = np.random.default_rng(20240611)
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

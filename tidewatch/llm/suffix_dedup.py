@@ -116,8 +116,8 @@ def emit_anchors(width: int, anchor: int, buckets: int):
 
 
 def contexts(buf, rank, runs, answers: pa.Table, buckets: int, width: int):
-    """Of the runs whose anchor occurs in another document: per bucket the distinct contexts, in order of their first document; and for each
-    such run its bucket and the number of its context there."""
+    """The runs whose anchor occurs in another document, bucket by bucket: (bucket, runs, number of each run's context, the distinct contexts
+    in order of their first document, that document)."""
     h, begin, end, row = runs
     uh, _, index = X.distinct(h, None)
     shared = X.told(answers, uh, buckets)
@@ -126,24 +126,21 @@ def contexts(buf, rank, runs, answers: pa.Table, buckets: int, width: int):
     np.minimum.at(low, index, doc)
     np.maximum.at(high, index, doc)
     keep = np.flatnonzero((shared | (low != high))[index])
-    b, e, doc = begin[keep], end[keep] + width, doc[keep]
+    del uh, index, low, high, shared
     bucket = X.bucket_of(h[keep], buckets)
-    text = buf.tobytes()
-    known: dict[tuple[int, bytes], int] = {}
-    sizes: dict[int, int] = {}
-    parts: dict[int, tuple[list, list]] = {}
-    number = np.empty(len(keep), np.int64)
-    for i, (x, y, d, k) in enumerate(zip(b.tolist(), e.tolist(), doc.tolist(), bucket.tolist(), strict=True)):
-        c = (k, text[x:y])
-        m = known.get(c)
-        if m is None:
-            m = known[c] = sizes.get(k, 0)
-            sizes[k] = m + 1
-            p = parts.setdefault(k, ([], []))
-            p[0].append(c[1])
-            p[1].append(d)
-        number[i] = m
-    return keep, bucket, number, parts
+    keep = keep[np.argsort(bucket, kind="stable")]
+    cut = np.searchsorted(X.bucket_of(h[keep], buckets), np.arange(buckets + 1))
+    text = memoryview(buf)
+    for k in np.flatnonzero(np.diff(cut)):
+        sel = keep[cut[k] : cut[k + 1]]
+        known: dict[bytes, int] = {}
+        docs, number = [], np.empty(len(sel), np.int64)
+        for i, (x, y, d) in enumerate(zip(begin[sel].tolist(), (end[sel] + width).tolist(), doc[sel].tolist(), strict=True)):
+            m = known.setdefault(bytes(text[x:y]), len(known))
+            if m == len(docs):
+                docs.append(d)
+            number[i] = m
+        yield int(k), sel, number, list(known), docs
 
 
 def emit_contexts(width: int, anchor: int, buckets: int):
@@ -152,8 +149,7 @@ def emit_contexts(width: int, anchor: int, buckets: int):
             return X.rows([])
         block = got["block"][0].as_py()
         _, buf, _, rank, runs = loaded(got, width, anchor)
-        parts = contexts(buf, rank, runs, answers, buckets, width)[3]
-        return X.rows([(block, k, 2, len(c), K.planes(np.fromiter(map(len, c), np.uint16, len(c))) + K.planes(np.array(d, np.int32)) + b"".join(c)) for k, (c, d) in parts.items()])
+        return X.rows([(block, k, 2, len(c), K.planes(np.fromiter(map(len, c), np.uint16, len(c))) + K.planes(np.array(d, np.int32)) + b"".join(c)) for k, _, _, c, d in contexts(buf, rank, runs, answers, buckets, width)])
 
     return of
 
@@ -208,21 +204,15 @@ def finish(width: int, anchor: int, buckets: int, digest: bool):
         got, buf, offs, rank, runs = loaded(got, width, anchor)
         mark = np.zeros(len(buf) + 1, np.int32)
         if got["block"][0].as_py() >= 0:
-            keep, bucket, number, parts = contexts(buf, rank, runs, answers, buckets, width)
-            kinds = answers["kind"].to_pylist()
-            told = {b: np.frombuffer(zlib.decompress(body), np.int32) for b, k, body in zip(answers["bucket"].to_pylist(), kinds, answers["body"].to_pylist(), strict=True) if k == 2}
-            begin, end, doc = runs[1][keep], runs[2][keep], rank[runs[3][keep]]
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cut)):
-                sel = order[cut[b] : cut[b + 1]]
-                size = np.fromiter(map(len, parts[int(b)][0]), np.int64) - width + 1
-                skip, first = np.cumsum(size) - size, told[int(b)]
-                count = size[number[sel]]
+            told = {b: body for b, k, body in zip(answers["bucket"].to_pylist(), answers["kind"].to_pylist(), answers["body"].to_pylist(), strict=True) if k == 2}
+            for b, sel, number, texts, _ in contexts(buf, rank, runs, answers, buckets, width):
+                size = np.fromiter(map(len, texts), np.int64) - width + 1
+                skip, first = np.cumsum(size) - size, np.frombuffer(zlib.decompress(told[b]), np.int32)
+                count = size[number]
                 k = np.repeat(np.arange(len(sel)), count)
                 step = np.arange(len(k)) - (np.cumsum(count) - count)[k]
-                f = first[skip[number[sel]][k] + step]
-                at = (begin[sel][k] + step)[(f < 0) | (f < doc[sel][k])]
+                f = first[skip[number][k] + step]
+                at = (runs[1][sel][k] + step)[(f < 0) | (f < rank[runs[3][sel]][k])]
                 np.add.at(mark, at, 1)
                 np.add.at(mark, at + width, -1)
         gone = np.cumsum(mark[:-1]) > 0
@@ -248,7 +238,7 @@ def finish(width: int, anchor: int, buckets: int, digest: bool):
     return of
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, anchor: int | None = None, block_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, anchor: int | None = None, block_bytes: int = 4 << 20) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, spans (byte intervals removed), and the kept text (bytes that are no longer UTF-8
     replaced), or with `digest` the SHA-256 of the kept bytes."""
     anchor = anchor or max(1, 2 * width // 5)
