@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 BLOCK_BYTES, MOST_BLOCKS = 8 << 20, 65536  # blocks of 8 MB of text; beyond that many of them blocks grow, up to LARGEST
 LARGEST = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,7 @@ def written(df: DataFrame) -> DataFrame:
 def blocked(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """docs with a column `block`, and how many blocks: ranges of `key` of about equal row counts in ascending order, so a smaller block holds
     smaller keys; rows of one key share a block. Null keys go to block -1. The bounds are at most MOST_BLOCKS .. bytes / LARGEST numbers."""
+    ship(docs.sparkSession)
     size, rows = docs.agg(F.sum(F.octet_length(text)), F.count(key)).first()
     n = int(min(max(16, -(-(size or 0) // block_bytes)), max(MOST_BLOCKS, -(-(size or 0) // LARGEST)), max(1, rows)))
     bounds = []

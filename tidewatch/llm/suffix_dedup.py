@@ -88,7 +88,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, width: int, anchor: int):
         first = np.ones(len(pos), bool)
         first[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
         k = np.flatnonzero(first)
-        hs.append(h[at[k]])
+        hs.append(K.mix(~h[at[k]]))  # minimal hashes are small: spread them over the buckets
         begins.append(pos[k] + offs[i])
         ends.append(pos[np.append(k[1:], len(pos)) - 1] + offs[i])
         rows.append(doc[k] + i)
