@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup, window_dedup
+from . import minhash_forest, suffix_dedup, window_dedup
 from .cluster import table
 
 
@@ -11,11 +11,16 @@ def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_minhash_forest(spark, sf_dir):
+    """Near-duplicate components at a Jaccard similarity of 0.85 of five-word shingles."""
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op10_window_dedup(spark, sf_dir):
     """Words covered by a 13-word window that also starts in a document with a smaller id."""
     return window_dedup.remove_repeats(table(spark, sf_dir, "documents"), 13, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op10_window_dedup)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_minhash_forest, op10_window_dedup)}
 
 SQL = {}
