@@ -56,6 +56,20 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+class Members:
+    """Exact membership in a set of hashes; a bit table answers most of the absent ones."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes)
+        self.mask = np.uint64((1 << max(16, (64 * len(self.sorted)).bit_length())) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[(self.sorted & self.mask).astype(np.int64)] = True
+
+    def positions(self, h: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.bits[(h & self.mask).astype(np.int64)])
+        return at[np.isin(h[at], self.sorted)]
+
+
 class Index:
     """Items of one part, by their number of words."""
 
@@ -63,7 +77,9 @@ class Index:
         self.radius = radius
         self.ids, self.by_length = np.array(ids, np.int64), {}
         self.grams = [dict(zip(*(x.tolist() for x in np.unique(shingles(c), return_counts=True)), strict=True)) for c in items]
-        self.all = np.unique(np.concatenate([np.fromiter(g, np.uint64, len(g)) for g in self.grams]))
+        # by the number of words of a shingle: WIDTH, or that of a shorter item
+        widths = {min(WIDTH, len(c)) for c in items}
+        self.members = {w: Members(np.concatenate([np.fromiter(g, np.uint64, len(g)) for g, c in zip(self.grams, items, strict=True) if min(WIDTH, len(c)) == w])) for w in widths}
         prints = np.concatenate([fingerprints(signs(shingles(c)).sum(axis=0, keepdims=True)) for c in items])
         for n in {len(c) for c in items}:
             own = np.array([k for k, c in enumerate(items) if len(c) == n])
@@ -82,44 +98,53 @@ class Index:
         return w[ok], own[i[ok]]
 
 
+def suspects(codes: np.ndarray, first: np.ndarray, index: Index) -> np.ndarray:
+    """The documents of a chunk that hold a benchmark shingle."""
+    out = np.zeros(len(first) - 1, bool)
+    for w, members in index.members.items():
+        at = members.positions(K.runs_of(codes, w))
+        k = np.searchsorted(first, at, "right") - 1
+        out[k[at + w <= first[k + 1]]] = True
+    return np.flatnonzero(out)
+
+
 def search(codes: np.ndarray, index: Index, percent: int):
     """Matches of one document: (item, similarity, first word, end), the best window for each item."""
     best: dict[int, tuple[float, int, int]] = {}
-    h = shingles(codes)
-    hit = np.flatnonzero(np.isin(h, index.all)) if len(h) else h
-    if not len(hit):
-        return best
-    sums = np.zeros((len(h) + 1, 64), np.int32)
-    np.cumsum(signs(h), axis=0, out=sums[1:])
+    known: dict[int, tuple] = {}
     for n in index.by_length:
         size = min(n, len(codes))
-        width = min(WIDTH, size)
-        if len(codes) < WIDTH and size >= WIDTH or size < WIDTH <= len(codes):
-            grams = K.runs_of(codes, width)  # an item shorter than a shingle
-            at = np.flatnonzero(np.isin(grams, index.all))
-            prints = fingerprints(signs(grams[at]))
-            many = [(int(a), grams[a : a + 1]) for a in at]
-        else:
-            k = size - width + 1  # shingles in a window
-            last = len(codes) - size
-            mark = np.zeros(last + 2, np.int32)
-            np.add.at(mark, np.clip(hit - k + 1, 0, last + 1), 1)
-            np.add.at(mark, np.minimum(hit, last) + 1, -1)
-            at = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0)
-            prints = fingerprints(sums[at + k] - sums[at])
-            many = [(int(a), h[a : a + k]) for a in at] if len(at) < 64 else None
+        width = min(WIDTH, n)
+        if size < width:
+            continue
+        if width not in known:
+            h = K.runs_of(codes, width)
+            known[width] = h, index.members[width].positions(h)
+        h, hit = known[width]
+        if not len(hit):
+            continue
+        k = size - width + 1  # shingles in a window
+        last = len(codes) - size
+        mark = np.zeros(last + 2, np.int32)
+        np.add.at(mark, np.clip(hit - k + 1, 0, last + 1), 1)
+        np.add.at(mark, np.minimum(hit, last) + 1, -1)
+        at = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0)
         if not len(at):
             continue
+        low, high = int(at[0]), int(at[-1]) + k
+        sums = np.zeros((high - low + 1, 64), np.int32)
+        np.cumsum(signs(h[low:high]), axis=0, out=sums[1:])
+        prints = fingerprints(sums[at - low + k] - sums[at - low])
         for w, item in zip(*index.near(n, prints), strict=True):
-            a, grams = many[w] if many is not None else (int(at[w]), h[at[w] : at[w] + k])
+            a = int(at[w])
             want = index.grams[item]
             got: dict[int, int] = {}
-            for g in grams.tolist():
+            for g in h[a : a + k].tolist():
                 got[g] = got.get(g, 0) + 1
-            low = sum(min(c, got.get(g, 0)) for g, c in want.items())
-            high = sum(want.values()) + len(grams) - low
-            if 100 * low >= percent * high and low / high > best.get(item, (0.0,))[0]:
-                best[int(item)] = (low / high, a, a + size)
+            shared = sum(min(c, got.get(g, 0)) for g, c in want.items())
+            whole = sum(want.values()) + k - shared
+            if 100 * shared >= percent * whole and shared / whole > best.get(item, (0.0,))[0]:
+                best[int(item)] = (shared / whole, a, a + size)
     return best
 
 
@@ -141,8 +166,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: in
             for batch in batches:
                 docs_, rows = batch.column(0).to_pylist(), []
                 for i, codes_, first in texts(batch.column(1)) if index else ():
-                    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                        rows += [(docs_[i + k], int(index.ids[item]), s, x, y) for item, (s, x, y) in search(codes_[a:b], index, percent).items()]
+                    for k in suspects(codes_, first, index).tolist():
+                        rows += [(docs_[i + k], int(index.ids[item]), s, x, y) for item, (s, x, y) in search(codes_[first[k] : first[k + 1]], index, percent).items()]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "similarity", "start", "stop"])
 
