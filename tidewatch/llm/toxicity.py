@@ -1,7 +1,7 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
 Features of a text are the words `[^\\W\\d_]+` of its lower-cased form and their prefixes of 3 to 6 letters (which catch inflected insults),
-present or absent. From a bounded sample of labelled rows (`sample_rows`, the documented bound; rows of the held-out fold are never in it) the
+present or absent, hashed to 2**22 numbers. From a bounded sample of labelled rows (`sample_rows`, the documented bound; rows of the held-out fold are never in it) the
 features that tell the classes apart are chosen, and a logistic model is fitted by Newton steps on
 
     log loss + l2 * |w|**2 + fairness * mean over counterfactual pairs of (score of the text - score of the swapped text)**2
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from math import exp
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,39 +32,40 @@ from ..session import ship
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 IDENTITY_TERMS = ("men", "women", "man", "woman", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "immigrant", "refugee", "disabled", "deaf", "blind", "old", "young")
-SAMPLE_ROWS, MOST_FEATURES = 12_000, 1_500
+SAMPLE_ROWS, MOST_FEATURES, HASHES = 8_000, 1_000, 1 << 22
 
 
-def features(word: str) -> list[str]:
-    return ["=" + word, *(word[:n] for n in PREFIXES if len(word) > n)]
+def features(word: str) -> tuple[int, ...]:
+    return tuple(crc32(x.encode()) % HASHES for x in ("=" + word, *(word[:n] for n in PREFIXES if len(word) > n)))
 
 
 def words(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def found(text: str | None) -> set[str]:
-    return {f for w in words(text) for f in features(w)}
+def found(text: str | None, cache: dict[str, tuple[int, ...]], kept=None) -> set[int]:
+    """The features of a text, or those of them in `kept`."""
+    out: set[int] = set()
+    for w in words(text):
+        f = cache.get(w)
+        if f is None:
+            if len(cache) > 200_000:
+                cache.clear()
+            f = cache[w] = features(w) if kept is None else tuple(x for x in features(w) if x in kept)
+        if f:
+            out.update(f)
+    return out
 
 
 @dataclass
 class Model:
     bias: float
-    weights: dict[str, float] = field(default_factory=dict)
-    cache: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+    weights: dict[int, float] = field(default_factory=dict)
+    cache: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def score(self, text: str | None) -> float:
-        cache, active = self.cache, set()
-        for w in words(text):
-            f = cache.get(w)
-            if f is None:
-                if len(cache) > 500_000:
-                    cache.clear()
-                f = cache[w] = tuple(x for x in features(w) if x in self.weights)
-            if f:
-                active.update(f)
-        z = self.bias + sum(self.weights[f] for f in sorted(active))
-        return float(1 / (1 + np.exp(-min(max(z, -60.0), 60.0))))
+        z = self.bias + sum(self.weights[f] for f in sorted(found(text, self.cache, self.weights)))
+        return 1 / (1 + exp(-min(max(z, -60.0), 60.0)))
 
 
 def swapped(text: str, a: str, b: str) -> str:
@@ -77,44 +80,40 @@ def fit(rows: list[tuple[str, int]], terms: tuple[str, ...] = IDENTITY_TERMS, fa
     if not pos or not neg:
         share = (pos + 0.5) / (len(y) + 1)
         return Model(float(np.log(share / (1 - share))))
-    seen: dict[str, list[int]] = {}
-    sets = [found(t) for t, _ in rows]
-    for s, label in zip(sets, y.astype(int), strict=True):
-        for f in s:
-            seen.setdefault(f, [0, 0])[label] += 1
-    names = list(seen)
-    n0, n1 = (np.array([seen[f][k] for f in names], float) for k in (0, 1))
+    counts, cache = np.zeros((2, HASHES), np.int32), {}
+    for text, label in rows:
+        counts[label, list(found(text, cache))] += 1
+    some = np.flatnonzero(counts.sum(axis=0) >= 4)
+    n0, n1 = counts[:, some].astype(float)
     p0, p1 = (n0 + 0.5) / (neg + 1), (n1 + 0.5) / (pos + 1)
     z = (p1 - p0) / np.sqrt(((n0 + n1 + 1) / (len(y) + 2)) * (1 / pos + 1 / neg))
-    good = (n0 + n1 >= 4) & (np.abs(z) >= 3) & (np.abs(np.log(p1 / p0)) >= 1)
-    order = sorted(np.flatnonzero(good), key=lambda k: (-abs(z[k]), names[k]))[:most_features]
-    named = {f for t in terms for f in features(t)} & seen.keys()
-    chosen = sorted({names[k] for k in order} | named)
-    at = {f: i for i, f in enumerate(chosen)}
-
-    def vectors(texts: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(texts), len(at) + 1), np.float32)
-        x[:, -1] = 1
-        for i, s in enumerate(texts):
-            x[i, [at[f] for f in s if f in at]] = 1
-        return x
-
-    x = vectors(sets)
-    pairs = []
-    for (text, _), s in zip(rows, sets, strict=True):
-        for k, t in enumerate(terms):
-            if "=" + t in s:
-                other = found(swapped(text, t, terms[(k + 1) % len(terms)]))
-                pairs.append(vectors([s])[0] - vectors([other])[0])
-    pairs += [vectors([set(features(t))])[0] - vectors([set()])[0] for t in terms]
-    d = np.array(pairs, np.float64)
-    fair = (d.T @ d) * (2 * fairness / len(d))
+    good = (np.abs(z) >= 3) & (np.abs(np.log(p1 / p0)) >= 1)
+    order = np.lexsort((some, -np.abs(z)))
+    best = some[order[good[order]]][:most_features]
+    named = [f for t in terms for f in features(t) if counts[:, f].any()]
+    at = {int(f): i for i, f in enumerate(sorted({*best.tolist(), *named}))}
+    cache = {}
+
+    def vector(text: str) -> np.ndarray:
+        out = np.zeros(len(at) + 1, np.float32)
+        out[[at[f] for f in found(text, cache, at)]] = 1
+        out[-1] = 1
+        return out
+
+    x = np.stack([vector(t) for t, _ in rows])
+    mentions = re.compile(rf"\b({'|'.join(map(re.escape, terms))})\b")
+    d = [vector(t) - vector("") for t in terms]
+    for text, _ in rows:
+        for t in sorted(set(mentions.findall(text.lower()))):
+            d.append(vector(text) - vector(swapped(text, t, terms[(terms.index(t) + 1) % len(terms)])))
+    d = np.array(d)
+    fair = (d.T @ d).astype(float) * (2 * fairness / len(d))
     w = np.zeros(len(at) + 1)
     penalty = np.full(len(w), 2 * l2)
     penalty[-1] = 1e-9
     for _ in range(steps):  # Newton
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        slope = x.T @ (p - y) / len(y) + penalty * w + fair @ w
+        p = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(float), -40, 40)))
+        slope = (x.T @ (p - y).astype(np.float32)).astype(float) / len(y) + penalty * w + fair @ w
         curve = (x * (p * (1 - p))[:, None].astype(np.float32)).T @ x / len(y)
         move = np.linalg.solve(curve + np.diag(penalty + 1e-6) + fair, slope)
         w -= move
