@@ -10,10 +10,14 @@ from pyspark.sql import SparkSession
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 _sent: set[str] = set()
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's sources to the executors, once for each application, so that Python functions can be imported there."""
+    """Sends the package's sources to the executors, once for each application, so that Python functions can be imported there,
+    and keeps Arrow batches small."""
+    if spark.conf.get(ARROW_BYTES) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(ARROW_BYTES, "8m")  # only the default is changed: batches of 64 MB of text are large for Python workers
     app = spark.sparkContext.applicationId
     if app not in _sent:
         path = os.path.join(tempfile.mkdtemp(), "tidewatch_sources.zip")
