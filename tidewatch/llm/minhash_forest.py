@@ -14,7 +14,7 @@ whole sequence is its one shingle; without words it is empty and linked with not
 3. Links. Candidates are confirmed on the full sets.
 4. Components. Alternating large-star and small-star contraction, each round a written table.
 5. Bridges: what large regions didn't compare. With components known, each node outside its region's main component is compared, in each
-   tree, with the 16 nearest nodes of other components by sketch among the 4096 next to it in the order; of these the 48 found in
+   tree, with the 8 nearest nodes of other components by sketch among the 4096 next to it in the order; of these the 32 found in
    most trees are confirmed. Passes go on until one links nothing, at most `bridges`; each is linear in nodes.
 
 A pair at the threshold shares no 4-value prefix in any of 20 trees with probability 4e-7 (85 percent) or 3e-5 (80 percent).
@@ -34,9 +34,9 @@ from ..session import ship
 from . import kernels as K
 from .cluster import written
 
-TREES, DEPTH, SHALLOW, LEAF, NEAR = 20, 8, 4, 16, 2
+TREES, DEPTH, SHALLOW, LEAF, NEAR = 20, 8, 4, 8, 1
 WINDOW_ROWS = 100_000
-CHUNK, NEAREST, BEST = 4096, 16, 48  # of step 5
+CHUNK, NEAREST, BEST = 4096, 8, 32  # of step 5
 _rng = np.random.default_rng(77)
 MULT = (_rng.integers(1, 2**31, TREES * DEPTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 ADD = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
@@ -205,7 +205,7 @@ def candidates(nodes: DataFrame, percent: int, bridges: bool = False) -> DataFra
     trees = nodes.select("node", "n_shingles", "sketch", "comp", F.posexplode(F.array(*[F.substring("sig", 2 * DEPTH * t + 1, 2 * DEPTH) for t in range(TREES)])).alias("tree", "key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = trees.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    near = ordered.mapInArrow(neighbours(percent, bridges), "a long, b long")
+    near = ordered.mapInArrow(K.tidy(neighbours(percent, bridges)), "a long, b long")
     if not bridges:
         return near.distinct()
     spread = F.xxhash64("a", "b")  # among equals a mixed choice
@@ -239,14 +239,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, w
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
 
     spark = docs.sparkSession
-    found = docs.join(paired, docs["doc_id"] == paired["node"]).select("node", "text", "digest").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    found = docs.join(paired, docs["doc_id"] == paired["node"]).select("node", "text", "digest").mapInArrow(K.tidy(sets), "node long, shingles binary").dropDuplicates(["node"])
     found = written(found)
     a = found.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     b = found.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")  # a row holds two sets
     try:
-        return written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(compare(percent), "a long, b long"))
+        return written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(K.tidy(compare(percent)), "a long, b long"))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
@@ -269,11 +269,11 @@ def components(links: DataFrame, id_a: str = "a", id_b: str = "b") -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text", bridges: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text", bridges: int = 1) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. At most `bridges` passes of step 5; each ends the work if it links nothing."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = written(own.mapInArrow(describe(width), NODES))
+    described = written(own.mapInArrow(K.tidy(describe(width)), NODES))
     some = described.where("digest is not null and doc_id is not null")
     first = some.groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = some.join(first, "digest").where("doc_id = node").dropDuplicates(["node", "digest"]).select("node", "digest", "n_shingles", "sig", "sketch")
