@@ -171,7 +171,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: in
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "similarity", "start", "stop"])
 
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(find, HITS)
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(K.tidy(find), HITS)
 
     for row in items.toLocalIterator():  # a part at a time
         ids.append(row["id"])

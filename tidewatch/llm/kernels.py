@@ -6,6 +6,8 @@ Everything here works on whole texts as UTF-8 bytes, many documents in one buffe
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -138,3 +140,25 @@ def planes(x: np.ndarray) -> bytes:
 def unplanes(b: bytes, kind: str) -> np.ndarray:
     w = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(w, -1).T).view(np.dtype(kind).newbyteorder(">")).ravel().astype(kind)
+
+
+def trim() -> None:
+    """Gives memory that a task no longer needs back to the system: workers live on, and many share a machine."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function for mapInArrow that trims when its task ends."""
+
+    def of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return of
