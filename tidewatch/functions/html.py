@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .. import config as C
 from .text import collapse, strip_noise, unescape
@@ -117,7 +118,8 @@ class _Page(HTMLParser):
             self.text.append(" ".join(data.split()))
 
 
-PARSED = "title string, h1 string, h2 string, text string, links array<struct<href:string,anchor:string>>"
+LINK = StructType([StructField("href", StringType()), StructField("anchor", StringType())])
+PARSED = StructType([StructField(n, StringType()) for n in ("title", "h1", "h2", "text")] + [StructField("links", ArrayType(LINK))])
 
 
 @F.pandas_udf(PARSED)

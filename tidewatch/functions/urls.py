@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import config as C
 
@@ -150,7 +151,7 @@ def www_variants(host) -> Column:
     return F.when(h == "", F.array()).when(F.startswith(h, F.lit("www.")), F.array(h, without_www(h))).otherwise(F.array(h, F.concat(F.lit("www."), h)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _join(base: pd.Series, href: pd.Series) -> pd.Series:
     from urllib.parse import urljoin
 
