@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
     described = written(own.mapInArrow(K.tidy(describe(width)), NODES))
     some = described.where("digest is not null and doc_id is not null")
     first = some.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = some.join(first, "digest").where("doc_id = node").dropDuplicates(["node", "digest"]).select("node", "digest", "n_shingles", "sig", "sketch")
+    nodes = some.withColumn("node", F.col("doc_id")).join(first, ["digest", "node"]).dropDuplicates(["node", "digest"]).select("node", "digest", "n_shingles", "sig", "sketch")
     nodes = written(nodes)
     plain = nodes.withColumn("comp", F.col("node"))
     tested = written(candidates(plain, percent))
@@ -292,7 +292,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
             break
         links, tested = links.union(found), tested.union(more)
         comps = components(links)
-    named = first.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
+    # written, so that the next join reads two plain exchanges, of which Spark splits the partition of a digest with very many copies
+    named = written(first.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")))
     out = described.where("digest is not null").join(named, "digest", "left").select("doc_id", "n_shingles", "component_id")
     out = out.union(described.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -67,7 +67,7 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_rows: int =
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.xxhash64(F.lit(9), F.col(id_col)).alias("h"))
     most = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    nb = max(16, -(-most // BUCKET_ROWS))
+    nb = max(64, -(-most // BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(nb)).cast("int"))
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     shifts = counts.withColumn("shift", F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("source", "bucket", F.coalesce("shift", F.lit(0)).alias("shift"))

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, hash_ring, minhash_forest, pfair, suffix_dedup, token_counts, toxicity, vamana, warc, window_dedup
 from .cluster import shared_dir, table
+from .sql import SQL
+
+__all__ = ["QUERIES", "SHARES", "SQL"]
 
 SHARES = {f"src{i}": 1 + i % 4 for i in range(20)}
 
@@ -20,7 +23,8 @@ def op1_token_counts(spark, sf_dir):
     rollup.commit("load", inserts)
     rollup.commit("load", inserts)
     named = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
-    copies = named.join(named.groupBy("digest").agg(F.min("doc_id").alias("first")), "digest").where("doc_id <> first")
+    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    copies = named.join(firsts, ["digest", "doc_id"], "left_anti")  # keys of two columns: a digest with many copies isn't one key
     none = F.lit(None).cast("string")
     rollup.commit("copies", copies.select(F.lit("delete").alias("op"), "doc_id", none.alias("text"), none.alias("source"), none.alias("lang")))
     return rollup.totals()
@@ -75,4 +79,4 @@ def op10_window_dedup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_decontaminate, op4_minhash_forest, op5_vamana, op6_warc, op7_toxicity, op8_hash_ring, op9_pfair, op10_window_dedup)}
 
-SQL = {}
+

@@ -100,7 +100,7 @@ def write(pages: DataFrame, to: str | None = None, least: int = 0, date: str = "
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"), F.sha1(payload).alias("sha"))
     # only payloads that repeat come back to the rows; counted with map-side combining
-    firsts = own.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first")
+    firsts = written(own.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first"))
     rows = own.join(firsts, "sha", "left").withColumn("first", F.when((F.col("first") != F.col("page_id")) | F.col("page_id").isNull(), F.col("first")).cast("long"))
 
     def files(batches):
