@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, SEED_HINTS, WatchConfig
+from ..functions.html import anchors
 from ..functions.text import keyword, link_blob, link_is_generic
-from ..functions.urls import any_of, canonical_url, col, sha1_key
+from ..functions.urls import any_of, canonical_url, col, is_attachment, is_valid_url, normalize_url, resolve_common, sha1_key, should_skip_href
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -15,6 +16,16 @@ def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, base, url, anchor, pos): the links of each page, skipped ones left out, the first of each URL. Anchors are taken once by a
+    generator; what follows runs on plain columns."""
+    found = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("base"), F.posexplode(anchors(html_col)).alias("pos", "a"))
+    rows = found.select("page_id", "base", "pos", "a.anchor", resolve_common("base", F.col("a.href")).alias("href")).where("href is not null")
+    rows = rows.withColumn("url", normalize_url("href")).where(is_valid_url("url"))
+    rows = rows.where(is_attachment("url") | ~should_skip_href("url"))
+    return first_by(rows, ["page_id", "url"], ["pos"]).select("page_id", "base", "url", "anchor", "pos")
+
+
 def link_hits(links: DataFrame, state: DataFrame, dead: DataFrame | None = None, config: WatchConfig = DEFAULT, order: tuple[str, ...] = ("page_id", "pos")) -> DataFrame:
     """Links (url, anchor, and the order columns) whose anchor or file name holds a keyword, to addresses unknown so far: first link of each."""
     rows = links.withColumn("keyword", keyword(link_blob("anchor", "url"), config.keywords, config.strict))

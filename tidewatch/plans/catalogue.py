@@ -95,7 +95,7 @@ def keyed(pages: DataFrame) -> DataFrame:
 
 
 def all_links(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.col("url").alias("base"), F.explode(H.links("html", "url")).alias("l")).select("page_id", "base", "l.url", "l.anchor", "l.pos")
+    return L.extract(pages)
 
 
 def remembered(pages: DataFrame) -> DataFrame:
