@@ -69,7 +69,7 @@ def op8_hash_ring(spark, sf_dir):
 
 def op9_pfair(spark, sf_dir):
     """Documents in blocks of 16, sources interleaved by their shares."""
-    return pfair.mix(table(spark, sf_dir, "documents"), SHARES, 16).select("row.doc_id", "source", "epoch", "block", "slot", "mix_pos")
+    return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), SHARES, 16).select("row.doc_id", "source", "epoch", "block", "slot", "mix_pos")
 
 
 def op10_window_dedup(spark, sf_dir):
