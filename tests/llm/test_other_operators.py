@@ -204,3 +204,29 @@ def test_pipeline(spark):
     assert sorted(P.run(spark, d).toPandas()["doc_id"]) == sorted(ids)
     toxic = {r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").collect()}
     assert len(toxic & ids) <= 0.3 * len(toxic) + 1
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage_reads_through_a_window(packed, monkeypatch, tmp_path):
+    """Small steps: marks and records across their borders, a long gap, a record far larger than a step; only one record is held."""
+    monkeypatch.setattr(warc, "STEP", 64)
+    monkeypatch.setattr(warc, "PIECE", 7)
+    r = random.Random(6)
+    bodies = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 5, 300, 5000, 40, 700, 64, 63)]
+    parts = [warc.record(i, None, b, warc.digest32(b), None, "d") for i, b in enumerate(bodies)]
+    parts = [warc.member(p) if packed else p for p in parts]
+    gap = b"\n" + b"no record here\n" * 1000
+    data = b"".join(parts[:4]) + gap + b"".join(parts[4:])
+    path = tmp_path / "a.warc"
+    path.write_bytes(data)
+    file, size = warc.opened(str(path))
+    with file:
+        window, held, found = warc.Window(file, size), 0, []
+        for x in warc.salvage(window):
+            held = max(held, len(window.held))
+            found.append(x)
+    assert [g["payload"] for *_, g in found if g] == bodies
+    assert [(n, why) for _, n, why, g in found if g is None] == [(len(gap), "member" if packed else "version")]
+    assert held < 7000 and sum(n for _, n, *_ in found) == len(data)
+    lead = list(warc.salvage(b"?" * 500 + b"\n" + data))
+    assert [g["payload"] for *_, g in lead if g] == bodies and lead[0][:2] == (0, 501)

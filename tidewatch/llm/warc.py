@@ -6,8 +6,8 @@ files named in the manifest count: each attempt of a task writes files of its ow
 
 Salvage reader: a record is valid if its member decompresses, its version line and headers parse, its block has the stated length and its
 payload the stated digest. After a failed check the reader searches for the next valid member (or, in uncompressed files, version line),
-goes on from there, and logs the bytes between as a quarantined gap with a reason. A file is read as a whole; the writer keeps files near
-`file_bytes`, plus one record.
+goes on from there, and logs the bytes between as a quarantined gap with a reason. A file is read through a window that holds the record at
+hand and no more, so archives of any size need the memory of their largest record. Headers of more than HEADER_BYTES fail the check.
 
 Null payloads are empty. A null id is no one's smallest id, unless all are null; then all are responses. Repeated rows with the smallest id
 are all responses. Null addresses are written without WARC-Target-URI. Other columns are ignored. An empty table gives no files.
@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import os
+import re
 import uuid
 import zlib
 
@@ -30,6 +32,8 @@ from .cluster import shared_dir, written
 
 GZ, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 HEAD = b"\r\n\r\n"
+STEP, PIECE, HEADER_BYTES = 1 << 20, 1 << 16, 1 << 20
+LENGTH = re.compile(rb"(?mi)^content-length:\s*(\d{1,18})\s*$")
 RECORD = "path string, offset long, length long, reason string, warc_type string, record_id string, uri string, date string, page_id long, payload binary, payload_bytes long, payload_digest string, refers_to long"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
 RECORD_ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for n, x in zip(NAMES, RECORD.split(", "), strict=True)])
@@ -55,13 +59,56 @@ def create(uri: str):
     return fs.open_output_stream(path)
 
 
-def load(uri: str) -> bytes:
+class Window:
+    """The bytes of a file, read on demand. `keep` forgets what lies before a place."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.base, self.held = file, size, 0, bytearray()
+
+    def fill(self, end: int) -> None:
+        while self.base + len(self.held) < min(end, self.size):
+            more = self.file.read(max(STEP, min(end, self.size) - self.base - len(self.held)))
+            if not more:
+                self.size = self.base + len(self.held)
+            self.held += more
+
+    def get(self, start: int, end: int) -> bytes:
+        self.fill(end)
+        return bytes(self.held[max(0, start - self.base) : max(0, end - self.base)])
+
+    def find(self, mark: bytes, start: int, end: int | None = None, forget: bool = False) -> int:
+        """The first `mark` that begins at `start` or later and ends by `end`, or -1."""
+        end = self.size if end is None else end
+        while True:
+            self.fill(start + STEP)
+            known = min(end, self.base + len(self.held))
+            at = self.held.find(mark, start - self.base, known - self.base)
+            if at >= 0:
+                return at + self.base
+            if known >= min(end, self.size):
+                return -1
+            start = max(start, known - len(mark) + 1)
+            if forget:
+                self.keep(start - 1)
+
+    def keep(self, at: int) -> None:
+        if at > self.base:
+            del self.held[: at - self.base]
+            self.base = at
+
+    def rewind(self) -> None:
+        if self.base:
+            self.file.seek(0)
+            self.base, self.held = 0, bytearray()
+
+
+def opened(uri: str):
+    """(file, size)"""
     fs, path = filesystem(uri)
     if fs is None:
-        with open(path, "rb") as f:
-            return f.read()
-    with fs.open_input_stream(path) as f:
-        return f.read()
+        return open(path, "rb"), os.path.getsize(path)
+    f = fs.open_input_file(path)
+    return f, f.size()
 
 
 def digest32(payload: bytes) -> str:
@@ -167,46 +214,70 @@ def parse(data: bytes) -> tuple[dict, int]:
     return got, end + 8 + n
 
 
-def one_member(data: memoryview, at: int) -> tuple[dict, int]:
+def one_member(window: Window, at: int) -> tuple[dict, int]:
     """The record in the gzip member at `at`, and the member's length."""
-    z = zlib.decompressobj(31)
-    try:
-        body = z.decompress(data[at:])
-    except zlib.error:
-        raise ValueError("member") from None
-    if not z.eof:
-        raise ValueError("member")
+    z, parts, end = zlib.decompressobj(31), [], at
+    while not z.eof:
+        piece = window.get(end, end + PIECE)
+        if not piece:
+            raise ValueError("member")
+        try:
+            parts.append(z.decompress(piece))
+        except zlib.error:
+            raise ValueError("member") from None
+        end += len(piece)
+    body = b"".join(parts)
     got, n = parse(body)
     if n != len(body):
         raise ValueError("length")
-    return got, len(data) - at - len(z.unused_data)
+    return got, end - len(z.unused_data) - at
 
 
-def one_plain(data: bytes, at: int) -> tuple[dict, int]:
-    end = data.find(HEAD, at)
+def one_plain(window: Window, at: int) -> tuple[dict, int]:
+    end = window.find(HEAD, at, at + HEADER_BYTES)
     if end < 0:
         raise ValueError("headers")
-    i = data.find(b"ontent-Length:", at, end + 2)
-    size = data[i + 14 : data.find(b"\r\n", i)].strip() if i > 0 else b""
-    return parse(data[at : end + 8 + int(size)] if size.isdigit() else data[at : end + 4])
-
-
-def salvage(data: bytes):
+    stated = LENGTH.search(window.get(at, end + 2))
+    stop = end + 4 if stated is None else end + 8 + int(stated[1])
+    if stop > window.size:
+        raise ValueError("length")
+    return parse(window.get(at, stop))
+
+
+def is_packed(window: Window) -> bool:
+    """Whether the first mark in the file is that of a gzip member."""
+    if window.get(0, 2) == GZ[:2]:
+        return True
+    at, packed = 0, False
+    while at < window.size:
+        piece = window.get(at, at + STEP + len(VERSION))
+        g, v = piece.find(GZ), piece.find(VERSION)
+        if g >= 0 or v >= 0:
+            packed = v < 0 or 0 <= g < v
+            break
+        at += STEP
+        window.keep(at)
+    window.rewind()
+    return packed
+
+
+def salvage(source: bytes | Window):
     """Records and gaps of an archive: (offset, length, reason, columns); reason is None for records, columns for gaps."""
-    packed = data[:2] == GZ[:2] or (not data.startswith(VERSION) and GZ in data[: 1 << 20] and data.find(GZ) < (data.find(VERSION) % (1 << 62)))
+    window = source if isinstance(source, Window) else Window(io.BytesIO(source), len(source))
+    packed = is_packed(window)
     mark, read = (GZ, one_member) if packed else (VERSION, one_plain)
-    source = memoryview(data) if packed else data
     at, lost, why = 0, None, None
-    while at < len(data):
+    while at < window.size:
+        window.keep(at)
         try:
-            if data[at : at + len(mark)] != mark:
+            if window.get(at, at + len(mark)) != mark:
                 raise ValueError("version" if not packed else "member")
-            got, n = read(source, at)
+            got, n = read(window, at)
         except ValueError as e:
             lost, why = (at, str(e)) if lost is None else (lost, why)
-            at = data.find(mark, at + 1)
-            while not packed and at > 0 and data[at - 1 : at] != b"\n":
-                at = data.find(mark, at + 1)
+            at = window.find(mark, at + 1, forget=True)
+            while not packed and at > 0 and window.get(at - 1, at) != b"\n":
+                at = window.find(mark, at + 1, forget=True)
             if at < 0:
                 break
             continue
@@ -216,7 +287,7 @@ def salvage(data: bytes):
         yield at, n, None, got
         at += n
     if lost is not None:
-        yield lost, len(data) - lost, why, None
+        yield lost, window.size - lost, why, None
 
 
 def read(spark: SparkSession, paths: DataFrame) -> DataFrame:
@@ -227,12 +298,14 @@ def read(spark: SparkSession, paths: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for at, n, why, got in salvage(load(path)):
-                    rows.append({"path": path, "offset": at, "length": n, "reason": why} | (got or {}))
-                    size += len((got or {}).get("payload") or b"")
-                    if size > 16 << 20 or len(rows) >= 5000:
-                        yield pa.RecordBatch.from_pylist(rows, RECORD_ARROW)
-                        rows, size = [], 0
+                file, length = opened(path)
+                with file:
+                    for at, n, why, got in salvage(Window(file, length)):
+                        rows.append({"path": path, "offset": at, "length": n, "reason": why} | (got or {}))
+                        size += len((got or {}).get("payload") or b"")
+                        if size > 4 << 20 or len(rows) >= 5000:
+                            yield pa.RecordBatch.from_pylist(rows, RECORD_ARROW)
+                            rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, RECORD_ARROW)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
