@@ -121,7 +121,7 @@ class Rollup:
             signed = signed.unionByName(before.select("doc_id", *KEYS, (-F.col("sign")).cast("int").alias("sign"), "tokens", "bytes"))
         aside = f"{self.home}/aside/{uuid.uuid4().hex}"
         signed.write.parquet(f"{aside}/ledger")
-        self.summed(self.spark.read.schema(SIGNED).parquet(f"{aside}/ledger")).coalesce(1).write.parquet(f"{aside}/sums")
+        self.summed(self.spark.read.schema(SIGNED).parquet(f"{aside}/ledger")).repartition(1).write.parquet(f"{aside}/sums")
         fs.mkdirs(to.getParent())
         done = fs.rename(self._path(aside)[0], to)
         if done and fs.exists(self._path(f"{self.home}/batches/{batch}/{os.path.basename(aside)}")[0]):
