@@ -230,3 +230,30 @@ def test_salvage_reads_through_a_window(packed, monkeypatch, tmp_path):
     assert held < 7000 and sum(n for _, n, *_ in found) == len(data)
     lead = list(warc.salvage(b"?" * 500 + b"\n" + data))
     assert [g["payload"] for *_, g in lead if g] == bodies and lead[0][:2] == (0, 501)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, empty):
+    """Nulls in every column, empty and long texts, repeated rows, extra columns with names that operators use; then empty tables."""
+    import corpus_pipeline as P
+
+    item = " ".join(f"item{i}" for i in range(30))
+    long_ = " ".join(f"l{i % 977}x{i}" for i in range(40_000))
+    rows = [(1, "", "en", "src1", 0), (2, None, "en", "src1", 0), (None, "no id at all here", "en", None, None), (None, None, None, None, None), (3, long_, None, "src2", 1), (4, long_ + " end", "en", "src2", 1)]
+    rows += [(5, "before " + item + " after", "en", "src3", 1), (6, "some other words than these", None, None, 1), (6, "some other words than these", None, None, 1), (7, "Some OTHER words than these", "de", "src1", 1)]
+    rows += [(i, " ".join(f"d{i}w{k}" for k in range(20)), "en", f"src{i % 3}", 1) for i in range(10, 40)]
+    extra = "row long, kept string, comp long, `__kept` long, `__hit` long, block int, arc int, label int"
+    docs = spark.createDataFrame([] if empty else [(*r, 1, "k", 2, 3, 5, 4, 5, 6) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([] if empty else [(1, item, 0), (2, None, 0), (None, "x", 0), (3, "", 0)], "item_id long, text string, doc_id long").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([] if empty else [(10, 1, None), (None, None, 1), (11, None, 0), (12, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = docs
+    for name, stage in P.STAGES:
+        seen = stage(spark, docs, str(tmp_path))  # each on the odd rows themselves
+        got, ids = seen.count(), Counter(r.doc_id for r in seen.select("doc_id").collect())
+        gone = {"minhash_near_dedup": {4, 7}, "decontamination": {5}}.get(name, set())
+        want = Counter(r[0] for r in ([] if empty else rows) if r[0] not in gone)
+        assert (name, ids, got) == (name, want, sum(want.values()))
+        assert name == P.STAGES[-1][0] or seen.columns == P.COLUMNS
+    assert P.run(spark, str(tmp_path)).count() == (0 if empty else len(rows) - 3)
