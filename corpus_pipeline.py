@@ -1,7 +1,9 @@
 """A corpus pipeline over `documents`: toxicity, near-duplicates, benchmark decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. Filters keep whole documents or drop them; the mix orders
-the rows by their place in the schedule, so that the written parts follow it; the last stage adds law, shard and slot.
+the rows by their place in the schedule, so that the written parts follow it; the last stage adds law, shard and slot. Columns other than
+those of documents are left out; null ids, texts, languages and sources stay, as do repeated rows of one id whose copy is kept; empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     """Keeps the document of smallest id of each group of near-duplicates (similarity 0.8 of five-word shingles)."""
+    docs = docs.select(COLUMNS)  # other columns may have any name
     kept = minhash_forest.near_duplicates(docs, 80).where("kept").select(F.col("doc_id").alias("__kept"))
     return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi").select(COLUMNS)
 
