@@ -161,3 +161,29 @@ def test_decontamination(spark, docs):
 def test_report(spark, docs):
     bench = spark.createDataFrame([(2, "one"), (1, "One")], "item_id long, text string")
     assert {tuple(r["items"]) for r in decontaminate.report(docs, bench).where(F.col("n_items") == 2).collect()} == {(1, 2)}
+
+
+def test_group_around_the_threshold(spark, monkeypatch):
+    """A family in one region whose pairs lie on both sides of the threshold: the same components as all pairs give, whatever neighbours and
+    bridges leave out; blocks of step 6 smaller than the group change nothing."""
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for at in r.sample(range(120), r.randint(1, 4)):
+            w[at] = f"c{r.randint(0, 10**6)}"
+        texts.append(w)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    comp = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    assert 2 < len(set(comp)) < 140
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    for side in (2048, 16):
+        monkeypatch.setattr(minhash_forest, "SIDE", side)
+        got = minhash_forest.near_duplicates(docs, 85).select("doc_id", "component_id").collect()
+        assert [c for _, c in sorted(map(tuple, got))] == comp

@@ -16,6 +16,9 @@ whole sequence is its one shingle; without words it is empty and linked with not
 5. Bridges: what large regions didn't compare. With components known, each node outside its region's main component is compared, in each
    tree, with the 8 nearest nodes of other components by sketch among the 4096 next to it in the order; of these the 32 found in
    most trees are confirmed. Passes go on until one links nothing, at most `bridges`; each is linear in nodes.
+6. The rest. Whatever the limits of steps 2 and 5 left out is compared: in each region of SHALLOW equal values that still holds several
+   components, each node outside the main one meets all nodes of other components, block by block. What pairs this yields are confirmed, so
+   no two nodes of different components that share a prefix stay uncompared. Regions of one component cost nothing.
 
 A pair at the threshold shares no 4-value prefix in any of 20 trees with probability 4e-7 (85 percent) or 3e-5 (80 percent).
 Null texts are empty. Null ids: component null, kept. Repeated rows and ids are linked like other copies. Other columns are ignored.
@@ -27,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,7 @@ from .cluster import written
 TREES, DEPTH, SHALLOW, LEAF, NEAR = 20, 8, 4, 8, 1
 WINDOW_ROWS = 100_000
 CHUNK, NEAREST, BEST = 4096, 8, 32  # of step 5
+SIDE = 2048  # nodes on each side of a block of step 6
 _rng = np.random.default_rng(77)
 MULT = (_rng.integers(1, 2**31, TREES * DEPTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 ADD = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
@@ -214,6 +219,45 @@ def candidates(nodes: DataFrame, percent: int, bridges: bool = False) -> DataFra
     return apart.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def least_equal(percent: int) -> int:
+    """Fewest equal minhashes of a pair at the threshold, with six standard deviations."""
+    n, p = TREES * DEPTH, percent / 100
+    return int(n * p - 6 * (n * p * (1 - p)) ** 0.5)
+
+
+def rest(nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of step 6. nodes: node, n_shingles, sig, sketch, comp."""
+    most, fewest = far_bits(percent), least_equal(percent)
+    prefixes = F.array(*[F.substring("sig", 2 * DEPTH * t + 1, 2 * SHALLOW) for t in range(TREES)])
+    placed = nodes.select("node", "comp", F.posexplode(prefixes).alias("tree", "prefix"))
+    counts = placed.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"))
+    regions = counts.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / SIDE).cast("int")
+    regions = written(regions.select("tree", "prefix", "main", blocks(F.col("n") - F.col("most")).alias("left"), blocks(F.col("n")).alias("right")))
+    members = written(placed.join(regions, ["tree", "prefix"]).join(nodes.select("node", "n_shingles", "sig", "sketch"), "node"))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["tree", "prefix", "l", "r", "asks", "node", "comp", "n_shingles", "sig", "sketch"]
+    asking = members.where("comp <> main").withColumn("l", own(F.col("left"))).withColumn("r", every("right")).withColumn("asks", F.lit(True))
+    told = members.withColumn("r", own(F.col("right"))).withColumn("l", every("left")).withColumn("asks", F.lit(False))
+
+    def meet(block):
+        asking, told = block.filter(block["asks"]), block.filter(pc.invert(block["asks"]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if asking.num_rows and told.num_rows:
+            of = lambda t: (t["node"].to_numpy(), t["comp"].to_numpy(), t["n_shingles"].to_numpy(), *(np.frombuffer(K.flat(t[c].combine_chunks())[0], kind).reshape(t.num_rows, -1) for c, kind in (("sketch", np.uint8), ("sig", np.uint16))))
+            node, comp, size, sketch, sig = of(told)
+            for x, c, s, k, g in zip(*of(asking), strict=True):
+                j = np.flatnonzero((comp != c) & (100 * np.minimum(size, s) >= percent * np.maximum(size, s)))
+                j = j[np.bitwise_count(sketch[j] ^ k).sum(axis=1) <= most]
+                j = j[(sig[j] == g).sum(axis=1) >= fewest]
+                a.append(np.minimum(node[j], x))
+                b.append(np.maximum(node[j], x))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return asking.select(columns).union(told.select(columns)).groupBy("tree", "prefix", "l", "r").applyInArrow(meet, "a long, b long").distinct()
+
+
 def compare(percent: int):
     def of(batches):
         for batch in batches:
@@ -292,6 +336,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
             break
         links, tested = links.union(found), tested.union(more)
         comps = components(links)
+    placed = written(nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    more = written(rest(placed, percent).join(tested, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        found = confirm(more, own, nodes, percent, width)
+        if not found.isEmpty():
+            comps = components(links.union(found))
     # written, so that the next join reads two plain exchanges, of which Spark splits the partition of a digest with very many copies
     named = written(first.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")))
     out = described.where("digest is not null").join(named, "digest", "left").select("doc_id", "n_shingles", "component_id")
