@@ -183,7 +183,7 @@ def test_group_around_the_threshold(spark, monkeypatch):
                 comp = [low if c == high else c for c in comp]
     assert 2 < len(set(comp)) < 140
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
-    for side in (2048, 16):
+    for side in (1 << 19, 2000):
         monkeypatch.setattr(minhash_forest, "SIDE", side)
         got = minhash_forest.near_duplicates(docs, 85).select("doc_id", "component_id").collect()
         assert [c for _, c in sorted(map(tuple, got))] == comp

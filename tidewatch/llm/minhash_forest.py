@@ -16,9 +16,11 @@ whole sequence is its one shingle; without words it is empty and linked with not
 5. Bridges: what large regions didn't compare. With components known, each node outside its region's main component is compared, in each
    tree, with the 8 nearest nodes of other components by sketch among the 4096 next to it in the order; of these the 32 found in
    most trees are confirmed. Passes go on until one links nothing, at most `bridges`; each is linear in nodes.
-6. The rest. Whatever the limits of steps 2 and 5 left out is compared: in each region of SHALLOW equal values that still holds several
-   components, each node outside the main one meets all nodes of other components, block by block. What pairs this yields are confirmed, so
-   no two nodes of different components that share a prefix stay uncompared. Regions of one component cost nothing.
+6. The rest. Whatever the limits of steps 2 and 5 left out is compared: regions of SHALLOW equal values that still hold several components.
+   In one of at most `leaf` nodes, these are pairs that a border between tasks parted. In a larger one each node outside the main component
+   meets, in the first tree that they share, all nodes of other components, block by block, on full sets; of the links found a block
+   returns those that join components, so its output is no larger than its input. After this no two nodes of different components that
+   share a prefix stay uncompared. Regions of one component cost nothing.
 
 A pair at the threshold shares no 4-value prefix in any of 20 trees with probability 4e-7 (85 percent) or 3e-5 (80 percent).
 Null texts are empty. Null ids: component null, kept. Repeated rows and ids are linked like other copies. Other columns are ignored.
@@ -30,7 +32,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from .cluster import written
 TREES, DEPTH, SHALLOW, LEAF, NEAR = 20, 8, 4, 8, 1
 WINDOW_ROWS = 100_000
 CHUNK, NEAREST, BEST = 4096, 8, 32  # of step 5
-SIDE = 2048  # nodes on each side of a block of step 6
+SIDE, NODE = 1 << 19, 100  # of step 6: shingles on each side of a block, where a node counts as NODE more
 _rng = np.random.default_rng(77)
 MULT = (_rng.integers(1, 2**31, TREES * DEPTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 ADD = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
@@ -225,37 +226,76 @@ def least_equal(percent: int) -> int:
     return int(n * p - 6 * (n * p * (1 - p)) ** 0.5)
 
 
-def rest(nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of step 6. nodes: node, n_shingles, sig, sketch, comp."""
-    most, fewest = far_bits(percent), least_equal(percent)
+def crowded(nodes: DataFrame) -> DataFrame:
+    """Nodes in regions of several components, for each tree: tree, prefix, main (component), n (nodes), left and right (blocks), node, comp."""
     prefixes = F.array(*[F.substring("sig", 2 * DEPTH * t + 1, 2 * SHALLOW) for t in range(TREES)])
-    placed = nodes.select("node", "comp", F.posexplode(prefixes).alias("tree", "prefix"))
-    counts = placed.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"))
-    regions = counts.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    blocks = lambda n: F.ceil(n / SIDE).cast("int")
-    regions = written(regions.select("tree", "prefix", "main", blocks(F.col("n") - F.col("most")).alias("left"), blocks(F.col("n")).alias("right")))
-    members = written(placed.join(regions, ["tree", "prefix"]).join(nodes.select("node", "n_shingles", "sig", "sketch"), "node"))
+    placed = nodes.select("node", "comp", "n_shingles", F.posexplode(prefixes).alias("tree", "prefix"))
+    counts = placed.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") + NODE).alias("weight"))
+    regions = counts.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max("weight").alias("most"), F.max_by("comp", F.struct("weight", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda w: F.ceil(w / SIDE).cast("int")
+    regions = written(regions.select("tree", "prefix", "main", "n", blocks(F.col("weight") - F.col("most")).alias("left"), blocks(F.col("weight")).alias("right")))
+    return written(placed.drop("n_shingles").join(regions, ["tree", "prefix"]))
+
+
+def parted(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different components in regions of at most LEAF nodes."""
+    small = members.where(F.col("n") <= LEAF)
+    a = small.select("tree", "prefix", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+    b = small.select("tree", "prefix", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    return a.join(b, ["tree", "prefix"]).where("a < b and comp_a <> comp_b").select("a", "b").distinct()
+
+
+def meeting(percent: int):
+    """Links of one block that join components."""
+    most, fewest = far_bits(percent), least_equal(percent)
+
+    def of(block):
+        raw = lambda c, kind: np.frombuffer(K.flat(block[c].combine_chunks())[0], kind).reshape(block.num_rows, -1)
+        node, comp, size, main, tree = block["node"].to_numpy(), block["comp"].to_numpy().copy(), block["n_shingles"].to_numpy(), block["main"][0].as_py(), block["tree"][0].as_py()
+        sketch, sig = raw("sketch", np.uint8), raw("sig", np.uint16)
+        told, minor = block["told"].to_numpy(), block["comp"].to_numpy() != main
+        body, offs = K.flat(block["shingles"].combine_chunks())
+        names, code = np.unique(body.view(np.uint64), return_inverse=True)
+        offs, mine, links = offs // 8, np.zeros(len(names), bool), []
+        for i in np.flatnonzero(block["asks"].to_numpy()):
+            j = np.flatnonzero(told & (comp != comp[i]) & (~minor | (node < node[i])) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+            j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= most]
+            equal = sig[j] == sig[i]
+            before = equal.reshape(len(j), TREES, DEPTH)[:, :tree, :SHALLOW].all(axis=2).any(axis=1)
+            j = j[(equal.sum(axis=1) >= fewest) & ~before]
+            if not len(j):
+                continue
+            n = offs[j + 1] - offs[j]
+            start = np.cumsum(n) - n
+            own = code[offs[i] : offs[i + 1]]
+            mine[own] = True
+            both = np.add.reduceat(mine[code[np.repeat(offs[j] - start, n) + np.arange(n.sum())]], start, dtype=np.int64)
+            mine[own] = False
+            for k in j[100 * both >= percent * (size[i] + size[j] - both)]:
+                if comp[k] != comp[i]:
+                    links.append((min(node[i], node[k]), max(node[i], node[k])))
+                    comp[comp == comp[k]] = comp[i]
+        K.trim()
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return of
+
+
+def unmet(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b), a < b, that join components in regions of more than LEAF nodes."""
+    large = members.where(F.col("n") > LEAF)
+    full = full_sets(large.select("node").distinct().join(nodes.select("node", "digest"), "node"), docs, width)
+    large = large.join(nodes.select("node", "n_shingles", "sig", "sketch").dropDuplicates(["node"]), "node").join(full, "node")
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["tree", "prefix", "l", "r", "asks", "node", "comp", "n_shingles", "sig", "sketch"]
-    asking = members.where("comp <> main").withColumn("l", own(F.col("left"))).withColumn("r", every("right")).withColumn("asks", F.lit(True))
-    told = members.withColumn("r", own(F.col("right"))).withColumn("l", every("left")).withColumn("asks", F.lit(False))
-
-    def meet(block):
-        asking, told = block.filter(block["asks"]), block.filter(pc.invert(block["asks"]))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if asking.num_rows and told.num_rows:
-            of = lambda t: (t["node"].to_numpy(), t["comp"].to_numpy(), t["n_shingles"].to_numpy(), *(np.frombuffer(K.flat(t[c].combine_chunks())[0], kind).reshape(t.num_rows, -1) for c, kind in (("sketch", np.uint8), ("sig", np.uint16))))
-            node, comp, size, sketch, sig = of(told)
-            for x, c, s, k, g in zip(*of(asking), strict=True):
-                j = np.flatnonzero((comp != c) & (100 * np.minimum(size, s) >= percent * np.maximum(size, s)))
-                j = j[np.bitwise_count(sketch[j] ^ k).sum(axis=1) <= most]
-                j = j[(sig[j] == g).sum(axis=1) >= fewest]
-                a.append(np.minimum(node[j], x))
-                b.append(np.maximum(node[j], x))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return asking.select(columns).union(told.select(columns)).groupBy("tree", "prefix", "l", "r").applyInArrow(meet, "a long, b long").distinct()
+    one, minor, yes, no = F.greatest("left", "right") == 1, F.col("comp") != F.col("main"), F.lit(True), F.lit(False)
+    sides = [
+        large.where(one).withColumns({"l": F.lit(0), "r": F.lit(0), "asks": minor, "told": yes}),
+        large.where(~one & minor).withColumns({"l": own(F.col("left")), "asks": yes, "told": no}).withColumn("r", every("right")),
+        large.where(~one).withColumns({"r": own(F.col("right")), "asks": no, "told": yes}).withColumn("l", every("left")),
+    ]
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    return rows.groupBy("tree", "prefix", "l", "r").applyInArrow(meeting(percent), "a long, b long").distinct()
 
 
 def compare(percent: int):
@@ -272,9 +312,8 @@ def compare(percent: int):
     return of
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs that are links by their full sets, which are built again from the texts of paired nodes only."""
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+def full_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes (node, digest), built again from their texts."""
 
     def sets(batches):
         for batch in batches:
@@ -282,9 +321,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, w
             rows = [(i, s.tobytes()) for i, s, w in zip(ids, shingle_sets(batch.column(1), width), want, strict=True) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == w]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
 
+    return docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "text", "digest").mapInArrow(K.tidy(sets), "node long, shingles binary").dropDuplicates(["node"])
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs that are links by their full sets, which are built again from the texts of paired nodes only."""
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
     spark = docs.sparkSession
-    found = docs.join(paired, docs["doc_id"] == paired["node"]).select("node", "text", "digest").mapInArrow(K.tidy(sets), "node long, shingles binary").dropDuplicates(["node"])
-    found = written(found)
+    found = written(full_sets(paired, docs, width))
     a = found.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     b = found.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -337,11 +381,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
         links, tested = links.union(found), tested.union(more)
         comps = components(links)
     placed = written(nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    more = written(rest(placed, percent).join(tested, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = confirm(more, own, nodes, percent, width)
-        if not found.isEmpty():
-            comps = components(links.union(found))
+    members = crowded(placed)
+    more = written(parted(members).join(tested, ["a", "b"], "left_anti"))
+    found = written(unmet(members, placed, own, percent, width).union(confirm(more, own, nodes, percent, width)))
+    if not found.isEmpty():
+        comps = components(links.union(found))
     # written, so that the next join reads two plain exchanges, of which Spark splits the partition of a digest with very many copies
     named = written(first.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")))
     out = described.where("digest is not null").join(named, "digest", "left").select("doc_id", "n_shingles", "component_id")
