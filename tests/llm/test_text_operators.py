@@ -164,8 +164,8 @@ def test_report(spark, docs):
 
 
 def test_group_around_the_threshold(spark, monkeypatch):
-    """A family in one region whose pairs lie on both sides of the threshold: the same components as all pairs give, whatever neighbours and
-    bridges leave out; blocks of step 6 smaller than the group change nothing."""
+    """A family in one region whose pairs lie on both sides of the threshold: the same components as all pairs give, whatever neighbours
+    leave out; blocks smaller than the group change nothing."""
     r = random.Random(11)
     base = [f"w{k}" for k in range(120)]
     texts = []

@@ -13,10 +13,7 @@ whole sequence is its one shingle; without words it is empty and linked with not
    A bit sketch and the set sizes drop candidates that are far below the threshold (six standard deviations).
 3. Links. Candidates are confirmed on the full sets.
 4. Components. Alternating large-star and small-star contraction, each round a written table.
-5. Bridges: what large regions didn't compare. With components known, each node outside its region's main component is compared, in each
-   tree, with the 8 nearest nodes of other components by sketch among the 4096 next to it in the order; of these the 32 found in
-   most trees are confirmed. Passes go on until one links nothing, at most `bridges`; each is linear in nodes.
-6. The rest. Whatever the limits of steps 2 and 5 left out is compared: regions of SHALLOW equal values that still hold several components.
+5. The rest. Whatever the limits of step 2 left out is compared: regions of SHALLOW equal values that still hold several components.
    In one of at most `leaf` nodes, these are pairs that a border between tasks parted. In a larger one each node outside the main component
    meets, in the first tree that they share, all nodes of other components, block by block, on full sets; of the links found a block
    returns those that join components, so its output is no larger than its input. After this no two nodes of different components that
@@ -32,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -41,8 +38,7 @@ from .cluster import written
 
 TREES, DEPTH, SHALLOW, LEAF, NEAR = 20, 8, 4, 8, 1
 WINDOW_ROWS = 100_000
-CHUNK, NEAREST, BEST = 4096, 8, 32  # of step 5
-SIDE, NODE = 1 << 19, 100  # of step 6: shingles on each side of a block, where a node counts as NODE more
+SIDE, NODE = 1 << 19, 100  # of step 5: shingles on each side of a block, where a node counts as NODE more
 _rng = np.random.default_rng(77)
 MULT = (_rng.integers(1, 2**31, TREES * DEPTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 ADD = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
@@ -121,11 +117,11 @@ def far_bits(percent: int) -> int:
     return int(n * p + 6 * (n * p * (1 - p)) ** 0.5) + 1
 
 
-def neighbours(percent: int, bridges: bool):
+def neighbours(percent: int):
     """Over rows sorted by (tree, key): pairs of nodes to compare."""
     most = far_bits(percent)
 
-    def pairs(tree, key, node, size, sketch, comp):
+    def pairs(tree, key, node, size, sketch):
         n = len(node)
         same = np.zeros((n, DEPTH + 1), bool)  # row i and the row before share a prefix of d values
         same[1:, 0] = tree[1:] == tree[:-1]
@@ -136,43 +132,27 @@ def neighbours(percent: int, bridges: bool):
         def keep(i, j):
             if not len(i):
                 return
-            ok = (node[i] != node[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (comp[i] != comp[j])
+            ok = (node[i] != node[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
             i, j = i[ok], j[ok]
             ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most
             i, j = i[ok], j[ok]
-            left.append(node[i] if bridges else np.minimum(node[i], node[j]))
-            right.append(node[j] if bridges else np.maximum(node[i], node[j]))
-
-        if bridges:
-            start = np.append(np.flatnonzero(~same[:, SHALLOW]), n)
-            for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                for x in range(lo, hi, CHUNK) if hi - lo > LEAF else ():
-                    y = min(hi, x + CHUNK)
-                    names, which, counts = np.unique(comp[x:y], return_inverse=True, return_counts=True)
-                    if len(names) == 1:
-                        continue
-                    part, most_common = sketch[x:y], counts.argmax()
-                    for i in np.flatnonzero(which != most_common) if counts.max() > 1 else range(y - x):
-                        apart = np.bitwise_count(part ^ part[i]).sum(axis=1, dtype=np.int32)
-                        apart[which == which[i]] = most + 1
-                        j = np.argpartition(apart, NEAREST)[:NEAREST] if y - x > NEAREST else np.arange(y - x)
-                        j = j[apart[j] <= most]
-                        keep(np.full(len(j), x + i), x + j)
-        else:
-            leaf = np.full(n, DEPTH + 1)  # the shallowest depth at which at most LEAF rows share the prefix
-            for d in range(DEPTH, SHALLOW - 1, -1):
-                region = np.cumsum(~same[:, d]) - 1
-                leaf[np.bincount(region)[region] <= LEAF] = d
-            common = np.full(n, DEPTH)  # depth that row i shares with the row `step` before
-            lcp = same.sum(axis=1) - 1
-            for step in range(1, LEAF):
-                if step >= n:
-                    break
-                common = np.minimum(common[1:], lcp[1 : n - step + 1])
-                j = np.arange(step, n)
-                i = j - step
-                ok = (common >= leaf[j]) | ((common >= SHALLOW) & (step <= NEAR))
-                keep(i[ok], j[ok])
+            left.append(np.minimum(node[i], node[j]))
+            right.append(np.maximum(node[i], node[j]))
+
+        leaf = np.full(n, DEPTH + 1)  # the shallowest depth at which at most LEAF rows share the prefix
+        for d in range(DEPTH, SHALLOW - 1, -1):
+            region = np.cumsum(~same[:, d]) - 1
+            leaf[np.bincount(region)[region] <= LEAF] = d
+        common = np.full(n, DEPTH)  # depth that row i shares with the row `step` before
+        lcp = same.sum(axis=1) - 1
+        for step in range(1, LEAF):
+            if step >= n:
+                break
+            common = np.minimum(common[1:], lcp[1 : n - step + 1])
+            j = np.arange(step, n)
+            i = j - step
+            ok = (common >= leaf[j]) | ((common >= SHALLOW) & (step <= NEAR))
+            keep(i[ok], j[ok])
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
             both = np.unique(np.stack((a, b), axis=1), axis=0)
@@ -188,7 +168,7 @@ def neighbours(percent: int, bridges: bool):
             t = pa.Table.from_batches(kept).combine_chunks()
             n = t.num_rows
             raw = lambda c, w, kind: np.frombuffer(K.flat(t[c])[0], np.uint8).reshape(n, w).view(kind)
-            a, b = pairs(t["tree"].to_numpy(), raw("key", 2 * DEPTH, ">u2"), t["node"].to_numpy(), t["n_shingles"].to_numpy(), raw("sketch", TREES * DEPTH // 8, np.uint8), t["comp"].to_numpy())
+            a, b = pairs(t["tree"].to_numpy(), raw("key", 2 * DEPTH, ">u2"), t["node"].to_numpy(), t["n_shingles"].to_numpy(), raw("sketch", TREES * DEPTH // 8, np.uint8))
             tail = t.slice(max(0, n - LEAF))
             kept, waiting = tail.to_batches(), 0
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -205,19 +185,13 @@ def neighbours(percent: int, bridges: bool):
     return of
 
 
-def candidates(nodes: DataFrame, percent: int, bridges: bool = False) -> DataFrame:
-    """Distinct pairs (a, b), a < b. nodes: node, n_shingles, sig, sketch, comp."""
+def candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b. nodes: node, n_shingles, sig, sketch."""
     spark = nodes.sparkSession
-    trees = nodes.select("node", "n_shingles", "sketch", "comp", F.posexplode(F.array(*[F.substring("sig", 2 * DEPTH * t + 1, 2 * DEPTH) for t in range(TREES)])).alias("tree", "key"))
+    trees = nodes.select("node", "n_shingles", "sketch", F.posexplode(F.array(*[F.substring("sig", 2 * DEPTH * t + 1, 2 * DEPTH) for t in range(TREES)])).alias("tree", "key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = trees.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    near = ordered.mapInArrow(K.tidy(neighbours(percent, bridges)), "a long, b long")
-    if not bridges:
-        return near.distinct()
-    spread = F.xxhash64("a", "b")  # among equals a mixed choice
-    apart = near.groupBy("a", "b").agg(F.count("*").alias("trees"))
-    best = Window.partitionBy("a").orderBy(F.desc("trees"), spread, "b")
-    return apart.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.mapInArrow(K.tidy(neighbours(percent)), "a long, b long").distinct()
 
 
 def least_equal(percent: int) -> int:
@@ -357,8 +331,8 @@ def components(links: DataFrame, id_a: str = "a", id_b: str = "b") -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text", bridges: int = 1) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept. At most `bridges` passes of step 5; each ends the work if it links nothing."""
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = written(own.mapInArrow(K.tidy(describe(width)), NODES))
@@ -366,20 +340,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
     first = some.groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = some.withColumn("node", F.col("doc_id")).join(first, ["digest", "node"]).dropDuplicates(["node", "digest"]).select("node", "digest", "n_shingles", "sig", "sketch")
     nodes = written(nodes)
-    plain = nodes.withColumn("comp", F.col("node"))
-    tested = written(candidates(plain, percent))
+    tested = written(candidates(nodes, percent))
     links = confirm(tested, own, nodes, percent, width)
     comps = components(links)
-    for _ in range(bridges):
-        placed = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        more = written(candidates(placed, percent, True).join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        found = confirm(more, own, nodes, percent, width)
-        if found.isEmpty():
-            break
-        links, tested = links.union(found), tested.union(more)
-        comps = components(links)
     placed = written(nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     members = crowded(placed)
     more = written(parted(members).join(tested, ["a", "b"], "left_anti"))
