@@ -73,6 +73,33 @@ def test_nearest_neighbours(spark):
     assert vamana.search(vamana.index(none), none).isEmpty() and vamana.search(vamana.index(df, 400), none).isEmpty()
 
 
+@pytest.mark.parametrize("shard_rows", [4096, 1500])
+def test_nearest_neighbours_among_copies(spark, shard_rows):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3600, 16))
+    groups = {"six": (0, 6, "equal"), "forty": (10, 50, "equal"), "many": (100, 1900, "equal"), "scaled six": (2000, 2006, "scaled"), "scaled": (2100, 3100, "scaled"), "rounded": (3200, 3300, "rounded")}
+    for a, b, kind in groups.values():
+        x[a:b] = x[a] * (1 if kind == "equal" else r.uniform(0.01, 100, size=(b - a, 1)))
+        if kind == "rounded":
+            x[a:b] = x[a:b].astype(np.float32)
+    ids = np.arange(3600)
+    ids[101:104] = 100  # rows of one id
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    ask = [a + d for a, b, _ in groups.values() for d in (0, 5, (b - a) // 2, b - a - 1) if ids[a + d] == a + d and a + d != 100] + [3400, 3500]
+    got = {}
+    for row in vamana.search(vamana.index(df, shard_rows), df.where(F.col("vec_id").isin(ask)), block_rows=7).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    assert sorted(got) == sorted(set(ask))
+    for i in ask:
+        score = vamana.exact_cosine(np.broadcast_to(x[i], x.shape), x)
+        score[ids == i] = -9
+        best = np.lexsort((ids, -score))[:5]
+        assert np.allclose([s for _, s in got[i]], score[best], rtol=0, atol=1e-12)
+        for a, b, kind in groups.values():
+            if a <= i < b:
+                assert all(ids[a] <= j < b for j, _ in got[i]) and (kind != "equal" or [j for j, _ in got[i]] == ids[best].tolist())
+
+
 def test_archives(spark):
     rows = [(5, "u", "same", "p"), (3, None, "same", "p"), (9, "u", "same", "p"), (3, "u", "same", "p"), (1, "u\r\nX: y", "", "p"), (2, "u", None, "p"), (None, "u", "same", "p"), (7, "u", "WARC/1.1\r\n\r\n" * 50, "p"), (8, "u", "ż" * 200_000, "p")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, sha string")

@@ -6,6 +6,9 @@ that it is closer to, relaxed by `alpha`, so edges stay diverse; back edges are
 graph. A query walks every shard's graph with a beam; the found vectors are scored again in double precision on the original vectors, and the
 `k` best of all shards are returned, nearest first, ties to the smaller id.
 
+Vectors of one direction (equal or scaled ones, to within `SAME`) are one node of a shard's graph: pruning keeps no edges between copies. A node
+found stands for all its rows; those that can be among the k best are scored. Of rows of one and the same vector these are at most 2k.
+
 Queries are sent in blocks to the shards as rows of a join on (shard, block); a task holds one shard's graph and one block. Every row
 is indexed. Vectors that are null, zero, or hold null or non-finite components take no part; nor do rows of null id. Rows of one id: each is a
 candidate of its own, and none is a candidate for a query of that id. Vectors of a length other than the most common one take no part.
@@ -23,6 +26,8 @@ from ..session import ship
 from .cluster import written
 
 SHARD_ROWS, DEGREE, BEAM, ALPHA, BLOCK_ROWS, QUERY_BEAM = 4096, 32, 64, 1.2, 4096, 128
+SAME = 1e-6  # distance of unit vectors: above the rounding of scaled 32-bit components, far above that of squared distances in double precision
+PAIR_BYTES = 16 << 20  # vectors scored at once
 
 
 def beam_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,7 +35,7 @@ def beam_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts
     q, n = len(queries), len(unit)
     rows = np.arange(q)
     beam = np.full((q, width), -1, np.int64)
-    sim = np.full((q, width), -np.inf, np.float32)
+    sim = np.full((q, width), -np.inf)
     k = min(width, len(starts))
     beam[:, :k] = starts[:k]
     sim[:, :k] = queries @ unit[starts[:k]].T
@@ -52,7 +57,7 @@ def beam_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts
             continue
         node = near[r, c]
         seen[live[r], node] = True
-        s = np.full(near.shape, -np.inf, np.float32)
+        s = np.full(near.shape, -np.inf)
         s[r, c] = np.einsum("ij,ij->i", queries[live[r]], unit[node])
         both = np.concatenate((sim[live], s), axis=1)
         names = np.concatenate((beam[live], np.where(ok, near, -1)), axis=1)
@@ -104,8 +109,8 @@ def build(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float
         o = np.argsort(b, kind="stable")
         a, b = a[o], b[o]
         targets, first, count = np.unique(b, return_index=True, return_counts=True)
-        for i in range(0, len(targets), 1024):  # back edges
-            t, f, m = targets[i : i + 1024], first[i : i + 1024], count[i : i + 1024]
+        for i in range(0, len(targets), 512):  # back edges
+            t, f, m = targets[i : i + 512], first[i : i + 512], count[i : i + 512]
             back = np.full((len(t), int(m.max())), -1, np.int64)
             which = np.repeat(np.arange(len(t)), m)
             back[which, np.arange(m.sum()) - (np.cumsum(m) - m)[which]] = a[f[0] : f[-1] + m[-1]]
@@ -121,12 +126,41 @@ def build(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float
     return graph, starts
 
 
+def unit_of(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def leaders(unit: np.ndarray) -> np.ndarray:
+    """For each row the row whose direction it shares: itself, or the first one within SAME that shares no other's."""
+    lead = np.arange(len(unit))
+    axis = np.random.default_rng(1).normal(size=unit.shape[1])
+    line = unit @ (axis / np.linalg.norm(axis))  # no farther apart than the vectors are
+    o = np.argsort(line, kind="stable")
+    for run in np.split(o, np.flatnonzero(np.diff(line[o]) > SAME) + 1):
+        rest = np.sort(run)
+        while len(rest) > 1:
+            same = np.square(unit[rest] - unit[rest[0]]).sum(axis=1) <= SAME * SAME
+            same[0] = True
+            lead[rest[same]] = rest[0]
+            rest = rest[~same]
+    return lead
+
+
+def place_in(*keys: np.ndarray) -> np.ndarray:
+    """Place of each row in its run of equal keys."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+
+
 def exact_cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of rows in double precision on the original vectors."""
     return np.einsum("ij,ij->i", q, x) / (np.sqrt(np.einsum("ij,ij->i", q, q)) * np.sqrt(np.einsum("ij,ij->i", x, x)))
 
 
-SHARD = "shard int, ids binary, vectors binary, graph binary, starts binary"
+SHARD = "shard int, ids binary, vectors binary, nodes binary, graph binary, starts binary"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -139,7 +173,7 @@ def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The index as a written table: a row for each shard with its ids, vectors and graph."""
+    """The index as a written table: a row for each shard with its ids, vectors, their nodes in ascending order, and the graph of the nodes."""
     spark = ship(rows.sparkSession)
     own = valid(rows, id_col, vector_col)
     sizes = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -152,12 +186,14 @@ def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, b
     def of(got: pa.Table) -> pa.Table:
         ids = got["vec_id"].to_numpy()
         v = np.array(got["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
-        o = np.lexsort((*v.T[:4], ids))
+        o = np.lexsort((*v.T[::-1], ids))
         ids, v = ids[o], v[o]
-        unit = v / np.abs(v).max(axis=1, keepdims=True)
-        unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
-        graph, starts = build(unit, degree, beam, alpha)
-        return pa.table([pa.array([got["shard"][0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, v, graph.astype(np.int32), starts))], ["shard", "ids", "vectors", "graph", "starts"])
+        lead = leaders(unit_of(v))
+        o = np.lexsort((ids, *v.T[::-1], lead))  # rows of a node, and of those the rows of one vector, stand together
+        ids, v = ids[o], v[o]
+        _, first, nodes = np.unique(lead[o], return_index=True, return_inverse=True)
+        graph, starts = build(unit_of(v[first]), degree, beam, alpha)
+        return pa.table([pa.array([got["shard"][0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, v, nodes.astype(np.int32), graph.astype(np.int32), starts))], ["shard", "ids", "vectors", "nodes", "graph", "starts"])
 
     return written(own.groupBy("shard").applyInArrow(of, SHARD))
 
@@ -190,21 +226,39 @@ def search(shards: DataFrame, queries: DataFrame, k: int = 5, beam: int = QUERY_
                     continue
                 at = np.cumsum(sizes) - sizes
                 q, q_ids = flat[(at[fits][:, None] + np.arange(v.shape[1])).ravel()].reshape(len(fits), -1), q_ids[fits]
-                unit_of = lambda x: ((x / np.abs(x).max(axis=1, keepdims=True)) / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True)).astype(np.float32)
-                unit, g, starts = unit_of(v), graph.reshape(len(ids), -1).astype(np.int64), get("starts", np.int64)
+                owner, starts = get("nodes", np.int32), get("starts", np.int64)
+                g = graph.reshape(owner[-1] + 1, -1).astype(np.int64)
+                unit = unit_of(v[np.searchsorted(owner, np.arange(len(g)))])
+                vector = np.cumsum(np.append(True, (v[1:] != v[:-1]).any(axis=1) | (owner[1:] != owner[:-1])))
+                some = np.flatnonzero(place_in(vector, ids) < k)  # k of each vector and id, then 2k of each vector: k or all without the query's own
+                some = some[place_in(vector[some]) < 2 * k]
+                ids, v, owner = ids[some], v[some], owner[some]
+                at = np.searchsorted(owner, np.arange(len(g) + 1))
+                sizes, by_id = np.diff(at), np.sort(ids)
+                most = max(1, PAIR_BYTES // (8 * v.shape[1]))
                 for i in range(0, len(q), 256):
-                    nodes, _ = beam_search(unit, g, unit_of(q[i : i + 256]), starts, max(beam, 2 * k))
-                    r, c = np.nonzero(nodes >= 0)
+                    nodes, sim = beam_search(unit, g, unit_of(q[i : i + 256]), starts, max(beam, 2 * k))
+                    mine = np.searchsorted(by_id, q_ids[i : i + 256], "right") - np.searchsorted(by_id, q_ids[i : i + 256])
+                    held = np.cumsum(np.where(nodes >= 0, sizes[nodes], 0), axis=1) >= k + mine[:, None]
+                    floor = np.where(held.any(axis=1), sim[np.arange(len(sim)), held.argmax(axis=1)], -np.inf)
+                    # a row is within 2 * SAME of its node's vector, so a node below this has none of the k best
+                    r, c = np.nonzero((nodes >= 0) & (sim >= floor[:, None] - 5 * SAME))
                     node = nodes[r, c]
-                    other = ids[node] != q_ids[i + r]
-                    r, node = r[other], node[other]
-                    score = exact_cosine(q[i + r], v[node])
-                    o = np.lexsort((ids[node], -score, r))
-                    r, node, score = r[o], node[o], score[o]
-                    place = np.arange(len(r)) - np.searchsorted(r, r)
-                    r, node, score = (x[place < k] for x in (r, node, score))
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i + r], pa.int64()), pa.array(ids[node], pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = sent.select("ids", "graph", "vectors", "starts", "q_ids", "q_vectors", "q_sizes").repartition(F.col("ids")).mapInArrow(run, FOUND)
+                    part = np.cumsum(np.bincount(r, sizes[node], len(nodes)).astype(np.int64)) // most
+                    for p in np.unique(part):
+                        here = part[r] == p
+                        m = sizes[node[here]]
+                        asks = np.repeat(r[here], m)
+                        row_of = np.repeat(at[node[here]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                        other = ids[row_of] != q_ids[i + asks]
+                        asks, row_of = asks[other], row_of[other]
+                        score = exact_cosine(q[i + asks], v[row_of])
+                        o = np.lexsort((ids[row_of], -score, asks))
+                        asks, row_of, score = asks[o], row_of[o], score[o]
+                        best = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
+                        asks, row_of, score = asks[best], row_of[best], score[best]
+                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[i + asks], pa.int64()), pa.array(ids[row_of], pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
+    found = sent.select("ids", "graph", "vectors", "nodes", "starts", "q_ids", "q_vectors", "q_sizes").repartition(F.col("ids")).mapInArrow(run, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
