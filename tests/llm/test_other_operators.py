@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import hash_ring, pfair, token_counts, toxicity, vamana, warc
+from tidewatch.llm import hash_ring, pfair, queries, token_counts, toxicity, vamana, warc
 
 CHANGES = "op string, doc_id long, text string, source string, lang string, tokens int"
 
@@ -36,6 +36,14 @@ def test_rollup(spark, tmp_path):
         r.commit("a/b", first)
 
 
+@pytest.mark.parametrize("nulls", [1, 3])
+def test_token_count_query_keeps_one_null_text(spark, tmp_path, nulls):
+    rows = [(i, None, "s", "en") for i in range(5, 5 + nulls)] + [(1, "a b", "s", "en"), (2, "a b", "t", "en"), (3, "", "s", "en"), (4, "", "s", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x.source, x.lang, x.tokenizer): (x.documents, x.bytes) for x in queries.op1_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {("s", "en", t): (3, 3) for t in ("bpe-50k", "words-1")}
+
+
 def test_bpe_counts(spark, tmp_path):
     import tiktoken
 

@@ -15,14 +15,14 @@ SHARES = {f"src{i}": 1 + i % 4 for i in range(20)}
 
 def op1_token_counts(spark, sf_dir):
     """Totals by source, language and tokenizer version: all documents are inserted, the batch is replayed, then exact copies are deleted
-    (all but the smallest id of each text) in a second batch."""
+    (all but the smallest id of each text) in a second batch. Null texts are copies of each other, not of the empty text."""
     docs = table(spark, sf_dir, "documents")
     tokenizers = {"bpe-50k": token_counts.bpe(f"{token_counts.VOCABULARIES}/byte_bpe_50k.tiktoken"), "words-1": token_counts.whitespace()}
     rollup = token_counts.Rollup(spark, shared_dir(spark), tokenizers)
     inserts = docs.withColumn("op", F.lit("insert"))
     rollup.commit("load", inserts)
     rollup.commit("load", inserts)
-    named = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
+    named = docs.select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("null")).alias("digest"))
     firsts = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     copies = named.join(firsts, ["digest", "doc_id"], "left_anti")  # keys of two columns: a digest with many copies isn't one key
     none = F.lit(None).cast("string")
