@@ -63,6 +63,24 @@ def test_start_candidates(spark):
     assert [r.candidate for r in rows[:5]] == ["https://a.pl/x", "https://a.pl/x/", "https://a.pl/", "https://a.pl/bip/", "https://a.pl/BIP/"] and len(rows) == 16
 
 
+def sitemap(children=(), pages=()):
+    tags = [f"<sitemap><loc>{c}</loc></sitemap>" for c in children] + [f"<url><loc>{p}</loc></url>" for p in pages]
+    return f"<sitemapindex>{''.join(tags)}</sitemapindex>"
+
+
+def test_sitemaps_of_any_depth(spark):
+    files = [("https://a.pl/sitemap-index.xml", sitemap(["https://a.pl/s1.xml"]))]
+    files += [(f"https://a.pl/s{i}.xml", sitemap([f"https://a.pl/s{i + 1}.xml", "https://a.pl/s1.xml"], [f"https://a.pl/p{i}"])) for i in range(1, 7)]
+    many = [f"https://b.pl/c{i}.xml" for i in range(60)]
+    files += [("https://b.pl/robots.txt", "Sitemap: https://b.pl/all.xml"), ("https://b.pl/all.xml", sitemap(many))]
+    files += [(c, sitemap([], [c.replace(".xml", "")])) for c in many]
+    roots = spark.createDataFrame([("a", "https://a.pl"), ("b", "https://b.pl"), ("c", "https://c.pl")], "site_key string, base string")
+    got = {}
+    for r in crawl.sitemap_urls(spark.createDataFrame(files, "url string, body string"), roots).orderBy("ordinal").collect():
+        got.setdefault(r.site_key, []).append(r.url)
+    assert got == {"a": [f"https://a.pl/p{i}" for i in range(1, 7)], "b": [f"https://b.pl/c{i}" for i in range(36)]}  # 40 fetches: 4 first ones, 36 children
+
+
 def test_link_hits(spark):
     found = spark.createDataFrame([(1, 0, "https://a.pl/d1", "Projekt MPZP Centrum"), (2, 0, "https://www.a.pl/d1/", "Drugi projekt mpzp"), (1, 1, "https://a.pl/d2", "bip"), (1, 2, "https://a.pl/old", "Stary mpzp tutaj")], "page_id long, pos int, url string, anchor string")
     known = spark.createDataFrame([("x", "https://a.pl/old")], "k string, url string").select(F.sha1("url").alias("url_key"))

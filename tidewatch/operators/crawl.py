@@ -64,22 +64,23 @@ def first_success(attempts: DataFrame, by: list[str], order: str = "ordinal") ->
 
 
 def sitemap_urls(responses: DataFrame, roots: DataFrame, fetches: int = 40, children: int = 200, most: int = DEFAULT.sitemap_urls) -> DataFrame:
-    """(site_key, url, ordinal): addresses from robots and nested sitemaps. responses: url, body; roots: site_key, base."""
+    """(site_key, url, ordinal): addresses from robots and nested sitemaps of any depth. responses: url, body; roots: site_key, base. Sitemaps
+    are fetched first in, first out, each address once, at most `fetches` a site; those without a response count."""
     robots = roots.join(responses.select(F.col("url").alias("__r"), "body"), F.concat(F.col("base"), F.lit("/robots.txt")) == F.col("__r"), "left")
-    defaults = F.array(*[F.concat(F.col("base"), F.lit(p)) for p in ("/sitemap.xml", "/sitemap_index.xml", "/sitemap")])
-    level = robots.select("site_key", F.posexplode(F.slice(F.array_distinct(F.concat(sitemaps_in_robots("body"), defaults)), 1, fetches)).alias("pos", "node"))
-    seen, pages, step = None, None, 0
+    defaults = F.array(*[F.concat(F.col("base"), F.lit(p)) for p in ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml")])
+    level = robots.select("site_key", F.lit(0).alias("step"), F.lit(0).alias("parent"), F.posexplode(F.array_distinct(F.concat(sitemaps_in_robots("body"), defaults))).alias("pos", "node"))
     bodies = responses.where(looks_like_sitemap("body")).select(F.col("url").alias("node"), "body")
-    while step < 3:
-        level = _cut(level.select("site_key", "node", F.col("pos").cast("long").alias("pos")))
-        seen = level if seen is None else seen.unionByName(level)
-        got = level.join(bodies, "node")
-        found = got.select("site_key", "pos", F.posexplode(sitemap_locs("body", "url")).alias("i", "url")).withColumn("pos", F.lit(step * 10**12) + F.col("pos") * 10**6 + F.col("i")).drop("i")
-        pages = found if pages is None else pages.unionByName(found)
-        more = got.select("site_key", F.posexplode(F.slice(sitemap_locs("body", "sitemap"), 1, children)).alias("pos", "node"))
-        level = more.join(seen, ["site_key", "node"], "left_anti")
-        step += 1
-        if level.isEmpty():
+    turn, queue, step = Window.partitionBy("site_key").orderBy("step", "parent", "pos", "node"), None, 0
+    while True:
+        queue = level if queue is None else queue.drop("n").unionByName(level)
+        once = queue.groupBy("site_key", F.coalesce(canonical_url("node"), "node").alias("same")).agg(F.min(F.struct("step", "parent", "pos", "node")).alias("q"))
+        queue = _cut(once.select("site_key", "q.*").withColumn("n", F.row_number().over(turn)).where(F.col("n") <= fetches))
+        latest = queue.where(F.col("step") == step)
+        if latest.isEmpty():
             break
+        step += 1
+        level = latest.join(bodies, "node").select("site_key", F.lit(step).alias("step"), F.col("n").alias("parent"), F.posexplode(F.slice(sitemap_locs("body", "sitemap"), 1, children)).alias("pos", "node"))
+    found = queue.join(bodies, "node").select("site_key", "n", F.posexplode(sitemap_locs("body", "url")).alias("i", "url"))
+    pages = found.withColumn("pos", F.col("n").cast("long") * 10**9 + F.col("i"))
     ranked = pages.groupBy("site_key", canonical_url("url").alias("url")).agg(F.min("pos").alias("pos"))
     return ranked.withColumn("ordinal", F.row_number().over(Window.partitionBy("site_key").orderBy("pos", "url"))).where(F.col("ordinal") <= most).drop("pos")
