@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.config import SCRIPTED_SEEDS
 from tidewatch.functions import ttl as T
 from tidewatch.operators import crawl, links, state
 from tidewatch.sources import readers, sinks
@@ -81,6 +82,16 @@ def test_sitemaps_of_any_depth(spark):
     assert got == {"a": [f"https://a.pl/p{i}" for i in range(1, 7)], "b": [f"https://b.pl/c{i}" for i in range(36)]}  # 40 fetches: 4 first ones, 36 children
 
 
+def test_scripted_seeds(spark):
+    starts = spark.createDataFrame([("a", "https://a.pl/bip/", "<script src='x.js'></script>"), ("b", "https://b.pl/", f"<p>{'text ' * 200}</p>"), ("c", "https://c.pl/", None)], "site_key string, url string, html string")
+    seeds = links.scripted_seeds(starts)
+    got = {(r.site_key, r.url, r.score) for r in seeds.collect()}
+    assert len(got) == len(SCRIPTED_SEEDS) and {("a", "https://a.pl/rss", 20), ("a", "https://a.pl/sitemap.xml?page=2", 20), ("a", "https://a.pl/index.php?id=ostatnio_dodane", 20)} <= got and {s for s, *_ in got} == {"a"}
+    urls = spark.createDataFrame([("https://a.pl/rss",), ("https://a.pl/oze",), ("https://a.pl/x",)], "url string")
+    scores = {r.url: r.score for r in links.seed_scores(urls, seeds).collect()}
+    assert len(scores) == len(SCRIPTED_SEEDS) + 2 and [scores[f"https://a.pl/{x}"] for x in ("rss", "feed", "oze", "x")] == [20, 20, 18, 10]
+
+
 def test_link_hits(spark):
     found = spark.createDataFrame([(1, 0, "https://a.pl/d1", "Projekt MPZP Centrum"), (2, 0, "https://www.a.pl/d1/", "Drugi projekt mpzp"), (1, 1, "https://a.pl/d2", "bip"), (1, 2, "https://a.pl/old", "Stary mpzp tutaj")], "page_id long, pos int, url string, anchor string")
     known = spark.createDataFrame([("x", "https://a.pl/old")], "k string, url string").select(F.sha1("url").alias("url_key"))

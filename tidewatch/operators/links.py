@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, SEED_HINTS, WatchConfig
-from ..functions.html import anchors
+from ..config import DEFAULT, SCRIPTED_SEEDS, SEED_HINTS, WatchConfig
+from ..functions.html import anchors, is_scripted
 from ..functions.text import keyword, link_blob, link_is_generic
-from ..functions.urls import any_of, canonical_url, col, is_attachment, is_valid_url, normalize_url, resolve_common, sha1_key, should_skip_href
+from ..functions.urls import any_of, canonical_url, col, is_attachment, is_valid_url, netloc, normalize_url, resolve_common, scheme, sha1_key, should_skip_href
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -45,6 +45,14 @@ def seed_score(url, hints=SEED_HINTS) -> Column:
     return F.when(any_of(F.lower(col(url)), hints), F.lit(18)).otherwise(F.lit(10))
 
 
-def seed_scores(urls: DataFrame) -> DataFrame:
-    """The best score of each address."""
-    return urls.groupBy("url").agg(F.max(seed_score("url")).alias("score"))
+def scripted_seeds(starts: DataFrame, paths: tuple[str, ...] = SCRIPTED_SEEDS) -> DataFrame:
+    """(site_key, url, score): the extra seeds of sites whose start page is made by scripts. starts: site_key, url (after redirects), html."""
+    urls = F.array(*[normalize_url(F.concat(scheme("url"), F.lit("://"), netloc("url"), F.lit(p))) for p in paths])
+    return starts.where(is_scripted("html")).select("site_key", F.explode(urls).alias("url"), F.lit(20).alias("score")).distinct()
+
+
+def seed_scores(urls: DataFrame, scripted: DataFrame | None = None) -> DataFrame:
+    """The best score of each address, those of scripted_seeds included."""
+    rows = urls.select("url", seed_score("url").alias("score"))
+    rows = rows if scripted is None else rows.unionByName(scripted.select("url", "score"))
+    return rows.groupBy("url").agg(F.max("score").alias("score"))
