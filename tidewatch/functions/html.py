@@ -11,8 +11,10 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .. import config as C
 from .text import collapse, strip_noise, unescape
-from .urls import base_domain, canonical_url, col, is_attachment, is_valid_url, netloc, normalize_url, path, resolve_common, should_skip_href, without_www
+from .urls import bound, col, is_attachment, is_valid_url, netloc, normalize_url, path, resolve, same_base_domain, should_skip_href, without_www
 
+ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+HREF = r"""(?is)^<a(?=[\s/])(?:[^>"']|"[^"]*+"|'[^']*+')*?(?<=[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 MAIN = r"(?is)<main\b|<[^>]+\b(?:id|class)\s*=\s*[\"'][^\"']*(?:content|tresc|main|article)"
 
 
@@ -47,23 +49,48 @@ def is_scripted(html) -> Column:
     return (F.coalesce(col(html), F.lit("")) != "") & ((n < 300) | ((F.regexp_count(col(html), F.lit(r"(?i)<script\b[^>]*\bsrc\s*=")) > 10) & (n < 500)))
 
 
+def headings(html, selectors: tuple[str, ...] = C.HEADING_SELECTORS) -> Column:
+    """struct<title, h1, h2, blob>: blob is title, h1, h2, h3 and the meta description. Pages without h1, h2 and h3 take as h1 the text of the
+    first element of a selector that has 6 characters or more. An element ends at the first end tag of its name; `parse` nests them."""
+    page = F.coalesce(col(html), F.lit(""))
+
+    def chosen(selector: str) -> Column:
+        inside, name = page, selector.split()[-1]
+        for outer in selector.split()[:-1]:
+            inside = F.regexp_extract(inside, rf"(?is)<{outer}\b[^>]*>(.*?)</{outer}\s*>", 1)
+        attribute = "id" if name[0] == "#" else "class"
+        value = name[1:] if name[0] == "#" else rf"(?:[^\"'>]*\s)?{name[1:]}(?:\s[^\"'>]*)?"
+        return _text(F.regexp_extract(inside, rf"(?s)<(\w+)\b[^>]*\s{attribute}\s*=\s*(?:\"{value}\"|'{value}'|{name[1:]}(?=[\s>]))[^>]*>(.*?)</\1\s*>", 2))
+
+    def of(x: Column) -> Column:
+        fallback = F.coalesce(*[bound(chosen(s), lambda t: F.when(F.length(t) >= 6, t)) for s in selectors], F.lit(""))
+        h1 = F.when((x["h1"] == "") & (x["h2"] == "") & (x["h3"] == ""), fallback).otherwise(x["h1"])
+        meta = F.regexp_extract(page, rf"(?is)<meta(?=[^>]*\sname\s*=\s*[\"']?description[\"'\s>/])[^>]*?\scontent\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+        meta = collapse(unescape(F.regexp_replace(meta, "^[\"']|[\"']$", "")))
+        return bound(h1, lambda t: F.struct(x["title"].alias("title"), t.alias("h1"), x["h2"].alias("h2"), collapse(F.concat_ws(" ", x["title"], t, x["h2"], x["h3"], meta)).alias("blob")))
+
+    return bound(F.struct(*[first_tag(html, t).alias(t) for t in ("title", "h1", "h2", "h3")]), of)
+
+
 def anchors(html) -> Column:
-    """array<struct<href, anchor>> in document order."""
-    tags = F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(r"(?is)(<a\b[^>]*>.*?)</a\s*>"), 1)
-    pairs = F.transform(tags, lambda t: F.struct(unescape(F.trim(F.regexp_extract(t, r"(?is)^<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'>\s]*)", 1))).alias("href"), _text(F.regexp_replace(t, r"(?is)^<a\b[^>]*>", "")).alias("anchor")))
+    """array<struct<href, anchor>> in document order. An anchor ends at its end tag, at the next anchor or with the page; values in quotes may
+    hold blanks and `>`; empty references are left out."""
+    tags = F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(rf"(?is)(<a(?=[\s/>]){ATTRIBUTES}>.*?)(?=</a\s*>|<a[\s/>]|$)"), 1)
+    href = lambda t: F.concat(*[F.regexp_extract(t, HREF, k) for k in (1, 2, 3)])
+    pairs = F.transform(tags, lambda t: F.struct(F.trim(F.regexp_replace(unescape(href(t)), r"^\s+|\s+$", "")).alias("href"), _text(F.regexp_replace(t, rf"(?is)^<a{ATTRIBUTES}>", "")).alias("anchor")))
     return F.filter(pairs, lambda p: p["href"] != "")
 
 
 def links(html, base) -> Column:
     """array<struct<url, anchor, pos>>: resolved links that are valid and not skipped (attachments stay); the first of each URL."""
-    all_ = F.transform(anchors(html), lambda p, i: F.struct(normalize_url(resolve_common(base, p["href"])).alias("url"), p["anchor"].alias("anchor"), i.alias("pos")))
+    all_ = F.transform(anchors(html), lambda p, i: F.struct(normalize_url(resolve(base, p["href"])).alias("url"), p["anchor"].alias("anchor"), i.alias("pos")))
     kept = F.filter(all_, lambda p: p["url"].isNotNull() & is_valid_url(p["url"]) & (is_attachment(p["url"]) | ~should_skip_href(p["url"])))
     return F.filter(kept, lambda p: F.array_position(F.transform(kept, lambda q: q["url"]), p["url"]) == F.array_position(F.transform(kept, lambda q: q["pos"]), p["pos"]))
 
 
 def attachments(html, base, ends=C.ATTACHMENTS) -> Column:
     """Sorted distinct attachment addresses: https, host without www., no query; a query defeats the match."""
-    urls = F.transform(anchors(html), lambda p: normalize_url(resolve_common(base, p["href"])))
+    urls = F.transform(anchors(html), lambda p: normalize_url(resolve(base, p["href"])))
     kept = F.filter(urls, lambda u: u.isNotNull() & is_attachment(u, ends))
     return F.array_sort(F.array_distinct(F.transform(kept, lambda u: F.concat(F.lit("https://"), without_www(F.lower(netloc(u))), path(u)))))
 
@@ -138,8 +165,4 @@ def parse(html: pd.Series) -> pd.DataFrame:
 
 
 def same_site(url, host) -> Column:
-    return base_domain(netloc(url)) == base_domain(host)
-
-
-def canonical_links(found) -> Column:
-    return F.transform(col(found), lambda p: canonical_url(p["url"]))
+    return same_base_domain(netloc(url), col(host))

@@ -1,17 +1,15 @@
-"""URL functions as column expressions. All stay in the JVM but `resolve`, whose rare forms take an Arrow UDF."""
+"""URL functions as column expressions; all stay in the JVM."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import config as C
 
-PARTS = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+PARTS = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
 def col(x) -> Column:
@@ -23,6 +21,16 @@ def any_of(text: Column, needles) -> Column:
     return text.rlike("|".join(re.escape(n) for n in needles))
 
 
+def bound(x: Column, of) -> Column:
+    """of(x) with x evaluated once, however often `of` uses it."""
+    return F.element_at(F.transform(F.array(x), of), 1)
+
+
+def parts(u) -> Column:
+    """[scheme, host, path, query] by one match."""
+    return F.split(F.regexp_replace(col(u), PARTS, "$1\x01$2\x01$3\x01$4"), "\x01")
+
+
 def scheme(u) -> Column:
     return F.lower(F.regexp_extract(col(u), PARTS, 1))
 
@@ -63,7 +71,7 @@ def build(s: Column, host: Column, p: Column, q: Column) -> Column:
 
 def normalize_url(u) -> Column:
     """Fragment dropped, query cleaned."""
-    return build(scheme(u), netloc(u), path(u), clean_query(query(u)))
+    return bound(parts(u), lambda x: build(F.lower(x[0]), x[1], x[2], clean_query(x[3])))
 
 
 def without_www(host: Column) -> Column:
@@ -72,10 +80,12 @@ def without_www(host: Column) -> Column:
 
 def canonical_url(u) -> Column:
     """https, lower-case host without www., no fragment, no parameters of the last segment, one trailing slash stripped."""
-    n = normalize_url(F.trim(col(u)))
-    p = F.regexp_replace(path(n), r";[^/]*$", "")
-    p = F.when((p == "") | (p == "/"), F.lit("/")).otherwise(F.regexp_replace(p, r"/$", ""))
-    return build(F.lit("https"), without_www(F.lower(netloc(n))), F.when(p == "", F.lit("/")).otherwise(p), query(n))
+
+    def of(x: Column) -> Column:
+        p = F.regexp_replace(F.regexp_replace(x[2], r";[^/]*$", ""), r"(?<=.)/$", "")
+        return build(F.lit("https"), without_www(F.lower(x[1])), F.when(p == "", F.lit("/")).otherwise(p), clean_query(x[3]))
+
+    return bound(parts(F.trim(col(u))), of)
 
 
 def url_key(u) -> Column:
@@ -151,26 +161,30 @@ def www_variants(host) -> Column:
     return F.when(h == "", F.array()).when(F.startswith(h, F.lit("www.")), F.array(h, without_www(h))).otherwise(F.array(h, F.concat(F.lit("www."), h)))
 
 
-@F.pandas_udf(StringType())
-def _join(base: pd.Series, href: pd.Series) -> pd.Series:
-    from urllib.parse import urljoin
-
-    def one(b, h):
-        try:
-            return urljoin(b, h)
-        except ValueError:
-            return None
-
-    return pd.Series([None if b is None or h is None else one(b, h) for b, h in zip(base, href, strict=True)])
-
-
-def resolve_common(base, href) -> Column:
-    """Absolute, //host and /path references without dot segments; null for other forms. Native."""
-    b, h = col(base), F.trim(col(href))
-    plain = ~h.rlike(r"(?:^|/)\.\.?(?:/|$|[?#])")
-    return F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h).when(plain & F.startswith(h, F.lit("//")), F.concat(scheme(b), F.lit(":"), h)).when(plain & F.startswith(h, F.lit("/")), F.concat(scheme(b), F.lit("://"), netloc(b), h))
+def _without_dots(p: Column) -> Column:
+    """A path without its segments `.` and `..`; what climbs above the root stays at the root."""
+    parts = F.split(p, "/")
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    return F.array_join(F.concat(kept, last), "/")
 
 
 def resolve(base, href) -> Column:
-    """Any reference, by RFC 3986. Costs a pass through Python; use resolve_common where links are known to be simple."""
-    return _join(col(base), F.trim(col(href)))
+    """The address that a reference means on a page, by RFC 3986: absolute, //host, /path, relative, dot segments, ?query and #fragment.
+    References of other schemes stay as they are. Null if either is null. A dot segment with parameters (`..;x`) counts as a name."""
+    b = parts(base)
+
+    def of(h: Column, x: Column, own: Column) -> Column:
+        s, p, q = F.lower(x[0]), x[2], x[3]
+        f = F.regexp_extract(h, r"#(.*)$", 1)
+        relative = F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(own[2], "[^/]*$", ""), p), "/{2,}", "/")
+        target = F.when(p == "", own[2]).when(F.startswith(p, F.lit("/")), p).otherwise(relative)
+        target = bound(target, lambda t: F.when((p != "") & t.rlike(r"(?:^|/)\.\.?(?:/|$)"), _without_dots(t)).otherwise(t))
+        target = bound(target, lambda t: F.when((t != "") & ~F.startswith(t, F.lit("/")), F.concat(F.lit("/"), t)).when((t == "") & (p != ""), F.lit("/")).otherwise(t))
+        joined = build(F.lower(own[0]), own[1], target, F.when((p == "") & (q == ""), own[3]).otherwise(q))
+        joined = F.concat(joined, F.when(f != "", F.concat(F.lit("#"), f)).otherwise(F.lit("")))
+        other = F.concat(F.lower(own[0]), F.lit(":"), F.regexp_replace(h, "^[a-zA-Z][a-zA-Z0-9+.\\-]*:", ""))
+        return F.when(h == "", col(base)).when((s != "") & (s != F.lower(own[0])), h).when(x[1] != "", other).otherwise(joined)
+
+    clean = F.regexp_replace(F.regexp_replace(col(href), r"^[\x00-\x20\xA0]+|[\x00-\x20\xA0]+$", ""), r"[\t\r\n]", "")
+    return bound(clean, lambda h: bound(F.struct(parts(h).alias("x"), b.alias("own")), lambda y: of(h, y["x"], y["own"])))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, SCRIPTED_SEEDS, SEED_HINTS, WatchConfig
 from ..functions.html import anchors, is_scripted
 from ..functions.text import keyword, link_blob, link_is_generic
-from ..functions.urls import any_of, canonical_url, col, is_attachment, is_valid_url, netloc, normalize_url, resolve_common, scheme, sha1_key, should_skip_href
+from ..functions.urls import any_of, canonical_url, col, is_attachment, is_valid_url, netloc, normalize_url, resolve, scheme, sha1_key, should_skip_href
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -20,7 +20,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, base, url, anchor, pos): the links of each page, skipped ones left out, the first of each URL. Anchors are taken once by a
     generator; what follows runs on plain columns."""
     found = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("base"), F.posexplode(anchors(html_col)).alias("pos", "a"))
-    rows = found.select("page_id", "base", "pos", "a.anchor", resolve_common("base", F.col("a.href")).alias("href")).where("href is not null")
+    rows = found.select("page_id", "base", "pos", "a.anchor", resolve("base", F.col("a.href")).alias("href"))
     rows = rows.withColumn("url", normalize_url("href")).where(is_valid_url("url"))
     rows = rows.where(is_attachment("url") | ~should_skip_href("url"))
     return first_by(rows, ["page_id", "url"], ["pos"]).select("page_id", "base", "url", "anchor", "pos")

@@ -326,10 +326,10 @@ def q32_rolling_all(spark, d):
 
 @query(f"WITH {PARTS} SELECT DISTINCT site, url AS loc FROM k")
 def q33_sitemap(spark, d):
-    """Sitemaps made of the pages of each site, parsed again."""
+    """Sitemaps made of the pages of each site, at most 1,000 a file, parsed again."""
     xml = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    files = keyed(read(spark, d, "pages").select("page_id", "url")).groupBy("site", (F.col("page_id") % 64).alias("part")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(xml), "\n"), F.lit("</urlset>")).alias("body"))
-    return files.where(X.looks_like_sitemap("body")).select("site", F.explode(X.sitemap_locs("body")).alias("loc")).distinct()
+    files = keyed(read(spark, d, "pages").select("page_id", "url")).groupBy("site", F.floor(F.col("page_id") / 1000).alias("part")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(xml), "\n"), F.lit("</urlset>")).alias("body"))
+    return files.where(X.looks_like_sitemap("body")).select("site", F.explode(X.raw_locs("body")).alias("loc")).distinct()
 
 
 @query(f"WITH {PARTS} SELECT page_id, s || '://' || h || '/map.xml' AS sitemap FROM k")
