@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.config import SCRIPTED_SEEDS
+from tidewatch.config import SCRIPTED_SEEDS, WatchConfig
 from tidewatch.functions import ttl as T
 from tidewatch.operators import crawl, links, state
 from tidewatch.sources import readers, sinks
@@ -107,8 +107,14 @@ def test_sources_and_sinks(spark, tmp_path):
     t = readers.state_files(spark, str(tmp_path / "c.json"))
     assert t["content_state"].first().status == "SEEN" and t["dead_urls"].isEmpty() and t["frontier"].first().depth == 3
     assert state.by_url(t["content_state"]).count() == 2
-    sinks.save_state(t, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/urls_seen")).count() == 1
+    out = str(tmp_path / "out")
+    assert all(df.isEmpty() for df in readers.load_state(spark, out).values())
+    sinks.save_state(t, out, "run1")
+    sinks.save_state(readers.empty_state(spark), out, "run2")
+    (tmp_path / "out/run2/_COMPLETE").unlink()  # a run that failed midway
+    assert readers.load_state(spark, out)["urls_seen"].count() == 1 and readers.load_state(spark, out)["dead_urls"].isEmpty()
+    (tmp_path / "old.json").write_text('{"found_items": {"a": 1}, "urls_seen": {"k": "t"}}')
+    assert all(df.isEmpty() for df in readers.state_files(spark, str(tmp_path / "old.json")).values())
     assert all(df.isEmpty() for df in readers.empty_state(spark).values())
 
 
@@ -116,3 +122,57 @@ def test_purge_boundary(spark):
     at = dt.datetime(2023, 1, 2)
     df = spark.createDataFrame([("a", at.isoformat()), ("b", (at - dt.timedelta(seconds=1)).isoformat()), ("c", "junk")], "url_key string, seen_at string")
     assert [r.url_key for r in state.purge_seen(df, as_of()).collect()] == ["a"]
+
+
+def test_discovery_stops_at_the_page_limit(spark):
+    """A chain and a cycle: with two pages fetched a site, the third is found but what it names isn't."""
+    rows = [(f"https://a.pl/{i}", f"https://{'b' if i == 9 else 'a'}.pl/{j}", "Anchor text", k) for i in range(4) for k, j in enumerate((i + 1, (i + 2) % 5))] + [("https://a.pl/0", "https://other.com/", "Anchor text", 5)]
+    found = spark.createDataFrame(rows, "base string, url string, anchor string, pos int")
+    starts = spark.createDataFrame([("s", "https://www.a.pl/0#x"), ("t", "https://c.pl/")], "site_key string, url string")
+    starts = starts.withColumn("url", F.when(F.col("site_key") == "s", "https://a.pl/0#x").otherwise(F.col("url")))
+    all_ = {(r.site_key, r.url[-1], r.depth, r.ordinal) for r in crawl.discover(found, starts).collect()}
+    assert all_ == {("s", "0", 0, 1), ("s", "1", 1, 2), ("s", "2", 1, 3), ("s", "3", 2, 4), ("s", "4", 2, 5), ("t", "/", 0, 1)}
+    few = crawl.discover(found, starts, WatchConfig(discovery_pages=2))
+    assert {(r.url[-1], r.fetched) for r in few.where("site_key = 's'").collect()} == {("0", True), ("1", True), ("2", False), ("3", False)}
+    assert [(r.site_key, r.url[-1], r.pos) for r in crawl.seeds(few, WatchConfig(seeds=2)).orderBy("pos").collect()] == [("s", "1", 0), ("s", "2", 1)]
+
+
+def test_first_success(spark):
+    rows = spark.createDataFrame([("a", 1, 404, True), ("a", 2, 200, False), ("a", 3, 200, True), ("a", 4, 200, True), ("b", 1, 500, False), ("b", 2, 403, False)], "g string, ordinal int, status int, html boolean")
+    assert {(r.g, r.ordinal) for r in crawl.first_success(rows, ["g"]).collect()} == {("a", 3), ("b", 2)}
+
+
+def test_a_stopped_run_is_resumed(spark):
+    """The saved frontier comes back in order, before it the retries, and seeds are ignored; a run that came to its end clears it."""
+    found = spark.createDataFrame([("s", "https://a.pl/1", 0), ("s", "https://www.a.pl/2/", 2), ("s", "https://a.pl/3", 1), ("s", "https://a.pl/9", 5)], "site_key string, url string, depth int")
+    done = found.where("depth = 0").select("site_key", "url")
+    left = state.frontier_rows(found, done)
+    retry = spark.createDataFrame([("s", "https://a.pl/r", 0)], "site_key string, url string, pos int")
+    seeds = spark.createDataFrame([("s", "https://a.pl/seed", 0), ("t", "https://t.pl/seed", 0)], "site_key string, url string, pos int")
+    got = [(r.site_key, r.url, r.depth) for r in state.queue(retry, left, seeds).orderBy("site_key", "order_rank").collect()]
+    assert got == [("s", "https://a.pl/r", 0), ("s", "https://a.pl/3", 1), ("s", "https://a.pl/2", 2), ("t", "https://t.pl/seed", 0)]
+    assert state.frontier_rows(found, found).isEmpty()
+
+
+def test_purge_seeds_and_their_cache(spark):
+    rows = spark.createDataFrame([("new", "2022-12-20T00:00:00"), ("old", "2022-11-01T00:00:00"), ("junk", "x"), ("none", "")], "site_key string, ts string")
+    cache = rows.withColumns({"allowed_host": F.lit("h"), "start_final": F.lit("f"), "seeds": F.array(F.lit("u"))})
+    at = F.lit("2023-01-02 00:00:00").cast("timestamp_ntz")
+    assert {r.site_key for r in state.purge_seeds(cache, at).collect()} == {"new", "none"}
+    assert {r.site_key for r in state.seed_cache_get(rows.select("site_key"), cache, at).where("seeds is not null").collect()} == {"new", "none"}
+
+
+def test_stream_state_ends(spark, tmp_path):
+    """A key's state ends a day after its last event let through, when a later batch has moved the watermark past that."""
+    from tidewatch.streaming import recheck as R
+
+    day = dt.datetime(2024, 1, 1)
+    batches = [[("a", day, "FAILED"), ("a", day + dt.timedelta(minutes=30), "FAILED"), ("a", day + dt.timedelta(minutes=61), "X")], [("b", day + dt.timedelta(days=9), "FAILED")], [("b", day + dt.timedelta(days=10), "FAILED")], [("a", day + dt.timedelta(days=11), "FAILED")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "key string, ts timestamp, status string").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    source = spark.readStream.schema("key string, ts timestamp, status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    out = str(tmp_path / "out")
+    q = R.recheck(source, {"FAILED": 60, "X": 10**6}, ttl_days=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "_c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.key, r.ts, r.due) for r in spark.read.parquet(out).collect())
+    assert [d for k, _, d in got if k == "a"] == [True, False, True, True]  # without an end the last one would wait for 694 days

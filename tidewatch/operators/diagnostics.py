@@ -38,3 +38,14 @@ def site_status(sites: DataFrame) -> DataFrame:
 
 def summary(sites: DataFrame) -> DataFrame:
     return sites.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "OK").alias("ok"), F.count_if(F.col("status") == "START_FAIL").alias("start_fail"))
+
+
+def start_fail_report(attempts: DataFrame, by: str = "gmina", order: str = "ordinal", shown: int = 8) -> DataFrame:
+    """Lines of the report on sites without a start page: the number of attempts, then the first ones. attempts: by, order, try_url, kind,
+    status, ms; a report, so the bound is the feature."""
+    w = Window.partitionBy(by)
+    rows = attempts.withColumn("n", F.row_number().over(w.orderBy(order))).withColumn("all", F.count("*").over(w))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    head = rows.where("n = 1").select(by, F.lit(0).alias("n"), F.concat(F.lit("start_attempts="), "all").alias("line"))
+    line = F.concat(F.lpad(F.col("n").cast("string"), 2, "0"), F.lit(") kind="), text("kind"), F.lit(" status="), text("status"), F.lit(" ms="), text("ms"), F.lit(" url="), F.left("try_url", F.lit(100)))
+    return head.unionByName(rows.where(F.col("n") <= shown).select(by, "n", line.alias("line")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, WatchConfig
 from ..functions.ttl import checked_at, must_fetch, parse_time, still_seen
-from ..functions.urls import canonical_url, col, url_key
+from ..functions.urls import canonical_url, col, is_first_phase_listing, url_key
 
 STATE = "url_key string, found_at string, last_checked string, etag string, last_modified string, gmina string, title string, url string, keywords array<string>, att_sig string, status string"
 FIELDS = [x.split()[0] for x in STATE.split(", ")]
@@ -120,3 +120,64 @@ def retry_rows(failed: DataFrame, known: DataFrame) -> DataFrame:
     """New retry entries (site_key, url): canonical, each once, none that an earlier run queued."""
     new = failed.select("site_key", canonical_url("url").alias("url")).distinct()
     return new.join(known.select("site_key", canonical_url("url").alias("url")).distinct(), ["site_key", "url"], "left_anti")
+
+
+def outcomes(responses: DataFrame, state: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """What responses without a page do. responses: site_key, gmina, url, final_url, kind, status. Gives
+    `delta`, state rows for merge, one a key: BLOCKED and FAILED under the final and the requested key, with what was known of the page kept and
+    its validators cleared; HIT on 304 for known keys, and for a requested key that is unknown a copy of the final one's row;
+    `retry` (site_key, url) of blocked and failed pages, `dead` (site_key, url) of those that are gone, canonical, each once."""
+    now = F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss")
+    own = responses.withColumn("final", canonical_url(F.coalesce(F.nullif("final_url", F.lit("")), "url"))).withColumn("next", transition("kind", "status"))
+    own = own.where("next is not null").withColumn("own_key", url_key("url")).withColumn("final_key", F.sha1("final"))
+    own = own.select("site_key", "gmina", "final", "next", "own_key", "final_key")
+    known = lookup(lookup(own.where("next <> 'DEAD'"), state, "own_key").withColumnRenamed("prev", "was"), state, "final_key").withColumnRenamed("prev", "is")
+    prev = F.coalesce("is", "was")
+    bad = known.where("next in ('BLOCKED', 'FAILED')").withColumn("prev", prev)
+    nothing = F.array().cast("array<string>")
+    kept = bad.select(F.explode(F.array_distinct(F.array("final_key", "own_key"))).alias("url_key"), F.coalesce("prev.found_at", now).alias("found_at"), now.alias("last_checked"), F.lit("").alias("etag"), F.lit("").alias("last_modified"), "gmina", F.coalesce("prev.title", F.lit("")).alias("title"), F.col("final").alias("url"), F.coalesce("prev.keywords", nothing).alias("keywords"), F.coalesce("prev.att_sig", F.lit("")).alias("att_sig"), F.col("next").alias("status"))
+    renewed = lambda key, row: F.when(row.isNotNull(), F.struct(F.col(key).alias("url_key"), row.alias("row")))
+    same = known.where("next = 'HIT'").select(F.explode(F.array_compact(F.array_distinct(F.array(renewed("final_key", F.col("is")), renewed("own_key", F.coalesce("was", "is")))))).alias("x"))
+    same = same.select([F.col("x.url_key") if c == "url_key" else now.alias(c) if c == "last_checked" else F.lit("HIT").alias(c) if c == "status" else F.col(f"x.row.{c}") for c in FIELDS])
+    once = Window.partitionBy("url_key").orderBy("status", "url", "title", "found_at")
+    delta = kept.unionByName(same).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    listed = lambda *kinds: own.where(F.col("next").isin(*kinds)).select("site_key", F.col("final").alias("url")).distinct()
+    return {"delta": delta, "retry": listed("BLOCKED", "FAILED"), "dead": listed("DEAD")}
+
+
+def dead_rows(gone: DataFrame, dead: DataFrame) -> DataFrame:
+    """The dead addresses (site_key, url) with new ones added, canonical, each once."""
+    both = dead.select("site_key", canonical_url("url").alias("url")).unionByName(gone.select("site_key", canonical_url("url").alias("url")))
+    return both.where("url is not null").distinct()
+
+
+def frontier_rows(found: DataFrame, fetched: DataFrame, config: WatchConfig = DEFAULT) -> DataFrame:
+    """What a stopped run leaves for the next one: site_key, url, depth, pos of found addresses (site_key, url, depth) not fetched (site_key,
+    url), in the order of their depth. Empty for a run that came to its end, which clears the saved one. Those too deep are left out."""
+    done = fetched.select("site_key", canonical_url("url").alias("url")).distinct()
+    left = found.where(F.col("depth") <= config.depth).groupBy("site_key", canonical_url("url").alias("url")).agg(F.min("depth").alias("depth")).join(done, ["site_key", "url"], "left_anti")
+    return left.withColumn("pos", F.row_number().over(Window.partitionBy("site_key").orderBy("depth", "url")) - 1)
+
+
+def seed_cache_get(sites: DataFrame, cache: DataFrame, as_of: Column, config: WatchConfig = DEFAULT) -> DataFrame:
+    """sites (site_key, ...) with allowed_host, start_final and seeds of the cache, null where it has none that is fresh: no older than
+    `seed_days`, or without a time. A time that can't be read isn't fresh."""
+    fresh = cache.where((F.coalesce("ts", F.lit("")) == "") | still_seen(parse_time("ts"), as_of, config.seed_days))
+    return sites.join(fresh.select("site_key", "allowed_host", "start_final", "seeds"), "site_key", "left")
+
+
+def seed_cache_put(cache: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
+    """The cache with the rows of found (site_key, allowed_host, start_final, seeds) in place of older ones, stamped."""
+    new = found.select("site_key", "allowed_host", "start_final", "seeds", F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("ts"))
+    return cache.join(new.select("site_key"), "site_key", "left_anti").select(new.columns).unionByName(new)
+
+
+def mark_seen(seen: DataFrame, urls: DataFrame, as_of: Column) -> DataFrame:
+    """seen (url_key, seen_at) with the keys of urls (url) stamped; listing and home pages are never marked."""
+    new = urls.where(~is_first_phase_listing("url")).select(url_key("url").alias("url_key")).distinct()
+    return seen.join(new, "url_key", "left_anti").select("url_key", "seen_at").unionByName(new.withColumn("seen_at", F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss")))
+
+
+def with_times(seen: DataFrame, as_of: Column) -> DataFrame:
+    """Before a save: keys without a time get this one."""
+    return seen.withColumn("seen_at", F.coalesce(F.nullif("seen_at", F.lit("")), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss")))

@@ -12,7 +12,7 @@ from ..functions import ttl as T
 from ..functions import urls as U
 from ..operators import crawl, diagnostics, state
 from ..operators import links as L
-from ..session import ship
+from ..session import shared_dir, ship
 from ..streaming import recheck as R
 
 #: Words of the test vocabulary: the default keywords don't occur in the tables.
@@ -417,15 +417,211 @@ def q44_work_queue(spark, d):
 @query()
 def s01_stateful_recheck(spark, d):
     """The recheck gate over the event stream, run to its end; the batch twin is in the tests."""
-    import uuid
-
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
     ship(spark)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     rows = stream.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "FAILED").otherwise("NO_MATCH").alias("status"))
-    out = f"{top}/{uuid.uuid4().hex}"
+    out = shared_dir(spark)
     R.recheck(rows, {"FAILED": 120, "NO_MATCH": 1440}).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "_state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(R.OUT).parquet(out)
 
 
+# ---- hand-made pages beside the tables: forms that the tables don't hold. What they must give is written out in the SQL.
+SITE = [
+    (-1, "https://www.f.pl/a/begin.html", '<title>T &oacute;</title><h2>Two &#380;</h2><h3>Three</h3><meta name="description" content="About &quot;it&quot;"><a href="one.html">First page</a> <a href=\'../two/\'>Second page</a><a href="https://other.net/x">Elsewhere</a><a href="my plan.pdf">The plan</a><a href=?p=2>Next sheet</a>'),
+    (-2, "https://www.f.pl/a/one.html", '<h1> </h1><p class="big page-title">Selected heading</p><a href=../two/./three.html>Third page</a><a href="begin.html#top">Back again</a><a href="/up/../up.PDF">Upper file</a>'),
+    (-3, "https://www.f.pl/two/three.html", '<a href="//f.pl/four">Fourth page</a><a title="a>b" href="four/">Within four'),
+    (-4, "https://f.pl/four", '<a href="five.html">Fifth page</a><a href="/four">Same page</a>'),
+    (-5, "https://f.pl/five.html", '<a href="six.html">Sixth page</a>'),
+    (-6, "https://f.pl/six.html", '<a href="seven.html">Seventh page</a><a href="mailto:a@f.pl">Write to us</a>'),
+]
+
+
+def with_fixtures(spark, d) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", "url", "html").unionByName(spark.createDataFrame(SITE, "page_id long, url string, html string"))
+
+
+@query(f"""WITH {PARTS}, {LINKS} SELECT page_id, url, anchor, pos FROM links UNION ALL (VALUES
+(-1, 'https://www.f.pl/a/one.html', 'First page', 0), (-1, 'https://www.f.pl/two/', 'Second page', 1), (-1, 'https://other.net/x', 'Elsewhere', 2), (-1, 'https://www.f.pl/a/my plan.pdf', 'The plan', 3), (-1, 'https://www.f.pl/a/begin.html?p=2', 'Next sheet', 4),
+(-2, 'https://www.f.pl/two/three.html', 'Third page', 0), (-2, 'https://www.f.pl/a/begin.html', 'Back again', 1), (-2, 'https://www.f.pl/up.PDF', 'Upper file', 2),
+(-3, 'https://f.pl/four', 'Fourth page', 0), (-3, 'https://www.f.pl/two/four/', 'Within four', 1), (-4, 'https://f.pl/five.html', 'Fifth page', 0), (-4, 'https://f.pl/four', 'Same page', 1), (-5, 'https://f.pl/six.html', 'Sixth page', 0), (-6, 'https://f.pl/seven.html', 'Seventh page', 0))""")
+def q45_links_of_any_form(spark, d):
+    """References of every form: relative, with dot segments, of a query alone, with blanks, bare, and of other schemes."""
+    return all_links(with_fixtures(spark, d)).select("page_id", "url", "anchor", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"""SELECT page_id, title, h1, '' AS h2, trim(title || ' ' || h1) AS blob FROM (SELECT page_id, {TAG('title')} title, {TAG('h1')} h1 FROM pages) UNION ALL (VALUES
+(-1, 'T ó', '', 'Two ż', 'T ó Two ż Three About "it"'), (-2, '', 'Selected heading', '', 'Selected heading'), (-3, '', '', '', ''), (-4, '', '', '', ''), (-5, '', '', '', ''), (-6, '', '', '', ''))""")
+def q46_headings(spark, d):
+    """Title, headings and their blob, with character references, h3, description and headings by selector."""
+    return with_fixtures(spark, d).select("page_id", H.headings("html").alias("x")).select("page_id", "x.title", "x.h1", "x.h2", "x.blob")
+
+
+@query(f"""WITH {PARTS}, {LINKS},
+f0 AS (SELECT a.page_id, l.url, min(pos) AS pos FROM k a JOIN k b ON a.normalized = b.normalized JOIN links l ON l.page_id = b.page_id
+ WHERE l.url <> a.normalized AND length(lower(anchor)) > 2 AND NOT {instr('lower(anchor)', C.IGNORED_ANCHORS)} AND len(list_filter({quoted(C.ATTACHMENTS)}, lambda e: ends_with(lower(l.url), e))) = 0 GROUP BY ALL),
+f AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos, url) + 1 AS ordinal FROM f0)
+SELECT page_id::VARCHAR AS site_key, normalized AS url, 0 AS depth, 1::BIGINT AS ordinal FROM k UNION ALL SELECT page_id::VARCHAR, url, 1, ordinal FROM f UNION ALL (VALUES
+('-1', 'https://www.f.pl/a/begin.html', 0, 1), ('-1', 'https://www.f.pl/a/one.html', 1, 2), ('-1', 'https://www.f.pl/two/', 1, 3), ('-1', 'https://www.f.pl/a/begin.html?p=2', 1, 4), ('-1', 'https://www.f.pl/two/three.html', 2, 5),
+('-1', 'https://f.pl/four', 3, 6), ('-1', 'https://www.f.pl/two/four/', 3, 7), ('-1', 'https://f.pl/five.html', 4, 8), ('-1', 'https://f.pl/six.html', 5, 9), ('-1', 'https://f.pl/seven.html', 6, 10))""")
+def q47_site_discovery(spark, d):
+    """First phase over extracted links: each page of the table starts a site of its own, and one hand-made site has a cycle and depth 6."""
+    pages = with_fixtures(spark, d)
+    starts = pages.where("page_id >= -1").select(F.col("page_id").cast("string").alias("site_key"), "url")
+    links = all_links(pages).withColumn("base", U.normalize_url("base"))
+    return crawl.discover(links, starts).select("site_key", "url", "depth", "ordinal")
+
+
+@query(f"""WITH {PARTS}, {LINKS},
+c AS (SELECT l.page_id, 'https://' || regexp_replace(lower(regexp_extract(l.url, '^[a-z]+://([^/]*)', 1)), '^www\\.', '') || regexp_extract(l.url, '^[a-z]+://[^/]*(.*)$', 1) AS url, canonical FROM links l JOIN (SELECT page_id, canonical FROM k) USING (page_id))
+SELECT DISTINCT page_id::VARCHAR AS site_key, canonical AS url, 0 AS depth FROM k UNION ALL SELECT DISTINCT page_id::VARCHAR, url, 1 FROM c WHERE url <> canonical AND page_id NOT IN (SELECT page_id FROM (SELECT page_id, count(*) OVER (PARTITION BY url_key) n FROM k) WHERE n > 1)
+UNION ALL SELECT DISTINCT k.page_id::VARCHAR, c.url, 1 FROM k JOIN c ON k.canonical = c.canonical WHERE c.url <> k.canonical AND k.page_id IN (SELECT page_id FROM (SELECT page_id, count(*) OVER (PARTITION BY url_key) n FROM k) WHERE n > 1)
+UNION ALL (VALUES ('-1', 'https://f.pl/a/begin.html', 0), ('-1', 'https://f.pl/a/one.html', 1), ('-1', 'https://f.pl/two', 1), ('-1', 'https://f.pl/a/my plan.pdf', 1), ('-1', 'https://f.pl/a/begin.html?p=2', 1), ('-1', 'https://f.pl/two/three.html', 2), ('-1', 'https://f.pl/up.PDF', 2),
+('-1', 'https://f.pl/four', 3), ('-1', 'https://f.pl/two/four', 3), ('-1', 'https://f.pl/five.html', 4))""")
+def q48_site_crawl(spark, d):
+    """Second phase over extracted links, canonical, within the site, to depth 4."""
+    pages = with_fixtures(spark, d)
+    queue = pages.where("page_id >= -1").select(F.col("page_id").cast("string").alias("site_key"), U.canonical_url("url").alias("url"))
+    links = crawl.site_links(all_links(pages), queue.select("site_key", U.netloc("url").alias("host")))
+    return crawl.crawl(links, queue).select("site_key", "url", "depth")
+
+
+WORDS = ["Projekt MPZP dla obrębu", "złoze", "plan og&oacute;lny", "Plan   Ogólny gminy i miejscowy plan", "farma wiatrowa", "wiatraki", "oze.", "wz", None]
+
+
+@query(r"""WITH b AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x{a0}]+', ' ', 'g')) b FROM documents)
+SELECT doc_id, CASE """ + " ".join(f"WHEN regexp_matches(b, '(^|[^\\pL\\pN_]){k}([^\\pL\\pN_]|$)') THEN '{k}'" if k in C.STRICT or len(k) <= 3 else f"WHEN contains(b, '{k.lower()}') THEN '{k}'" for k in C.KEYWORDS) + """ END AS keyword FROM b UNION ALL (VALUES
+(-1, 'mpzp'), (-2, NULL), (-3, NULL), (-4, 'miejscowy plan'), (-5, 'farma wiatrowa'), (-6, 'wiatr'), (-7, 'oze'), (-8, NULL), (-9, NULL))""")
+def q49_default_keywords(spark, d):
+    """The default keywords, which the tables don't hold, over all documents and a few sentences that do."""
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(WORDS)], "doc_id long, text string")
+    return read(spark, d, "documents").select("doc_id", "text").unionByName(more).select("doc_id", X.keyword("text").alias("keyword"))
+
+
+MARKED = [(-1, "<p>Zbyt du\u017co jednoczesnych po\u0142\u0105cze\u0144</p>"), (-2, "<p>Service Unavailable</p>"), (-3, "<p>Service Unavailable</p>" + "long text " * 80), (-4, "<p style='color:#13aabb'>x</p>"), (-5, None), (-6, "<p>fine</p>")]
+
+
+@query(f"SELECT page_id, {instr('lower(html)', C.BLOCK_MARKERS)} OR (length({TEXT}) < 600 AND regexp_matches(left(lower(html), 4000), '" + "|".join(C.BLOCK_PHRASES) + "')) AS blocked FROM pages UNION ALL (VALUES (-1, true), (-2, true), (-3, false), (-4, true), (-5, false), (-6, false))")
+def q50_default_block_markers(spark, d):
+    pages = read(spark, d, "pages").select("page_id", "html").unionByName(spark.createDataFrame(MARKED, "page_id long, html string"))
+    return pages.select("page_id", X.is_block_page("html", H.visible_text("html")).alias("blocked"))
+
+
+NOISY = ["a Wygenerowano: 2024-01-02 03:04:05 b Odsłon: 12", "WYGENEROWANO: 3 stycznia 2024 r. 3:04:05 x", "odsłony: 7 pobrań:3  y", "bez zmian"]
+
+
+@query("SELECT doc_id, " + COLLAPSE.format(x="regexp_replace(" * len(C.NOISE) + "text" + "".join(f", '(?i){p}', '', 'g')" for p in C.NOISE)) + " AS clean FROM documents UNION ALL (VALUES (-1, 'a b'), (-2, 'x'), (-3, 'y'), (-4, 'bez zmian'))")
+def q51_default_noise(spark, d):
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(NOISY)], "doc_id long, text string")
+    return read(spark, d, "documents").select("doc_id", "text").unionByName(more).select("doc_id", X.strip_noise("text").alias("clean"))
+
+
+ANSWERS = f"""a AS (SELECT *, 'https://s' || user_id || '.pl/e' || event_id AS url, 'https://s' || user_id || '.pl/e' || event_id || CASE WHEN event_id % 4 = 0 THEN '/f' ELSE '' END AS final,
+ CASE WHEN kind = 'not_modified' THEN 'HIT' WHEN kind = 'blocked' THEN 'BLOCKED' WHEN kind = 'html' THEN NULL WHEN status = 404 AND kind = 'http_err' THEN 'DEAD' WHEN status >= 500 AND kind <> 'pdf' THEN 'FAILED' END AS next FROM (SELECT *, {KIND} AS kind FROM (SELECT *, {STATUSES} AS status FROM events))),
+st AS (SELECT sha1(url) k, 'own' title FROM a WHERE event_id % 3 = 0 UNION ALL SELECT sha1(final), 'final' FROM a WHERE event_id % 20 = 0)"""
+
+
+def answers(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Responses made of the events, a quarter of them redirected; and remembered state of a third of the requested and a few final pages."""
+    rows = read(spark, d, "events").withColumn("status", F.expr(STATUSES)).withColumn("ctype", F.when(F.col("event_type") == "view", "application/pdf").otherwise("text/html"))
+    rows = rows.withColumn("kind", state.response_kind("status", "ctype", F.lit("https://a.pl/x"), "props", F.col("value") > 40, F.lit(True)))
+    url = F.concat(F.lit("https://s"), "user_id", F.lit(".pl/e"), "event_id")
+    rows = rows.withColumn("url", url).withColumn("final_url", F.when(F.col("event_id") % 4 == 0, F.concat("url", F.lit("/f"))).otherwise(F.col("url")))
+    rows = rows.select("event_id", F.col("user_id").cast("string").alias("site_key"), F.lit("g").alias("gmina"), "url", "final_url", "kind", "status")
+    known = rows.where("event_id % 3 = 0").select("url", F.lit("own").alias("title")).unionByName(rows.where("event_id % 20 = 0").select(F.col("final_url").alias("url"), F.lit("final").alias("title")))
+    old = known.select(U.url_key("url").alias("url_key"), F.lit("2023-12-01T00:00:00").alias("found_at"), F.lit("2023-12-02T00:00:00").alias("last_checked"), F.lit("e").alias("etag"), F.lit("m").alias("last_modified"), F.lit("g").alias("gmina"), "title", "url", F.array(F.lit("oze")).alias("keywords"), F.lit("[]").alias("att_sig"), F.lit("NOWE").alias("status"))
+    return rows, old
+
+
+@query(f"""WITH {ANSWERS}, j AS (SELECT a.*, o.title own, f.title fin FROM a LEFT JOIN st o ON o.k = sha1(a.url) LEFT JOIN st f ON f.k = sha1(a.final)),
+bad AS (SELECT unnest(list_distinct([sha1(url), sha1(final)])) url_key, next status, CASE WHEN coalesce(fin, own) IS NULL THEN '2024-02-01T00:00:00' ELSE '2023-12-01T00:00:00' END found_at, '2024-02-01T00:00:00' last_checked, '' etag, coalesce(fin, own, '') title, final url, CASE WHEN coalesce(fin, own) IS NULL THEN '' ELSE 'oze' END keywords FROM j WHERE next IN ('BLOCKED', 'FAILED')),
+hit AS (SELECT sha1(final) url_key, fin title, final url FROM j WHERE next = 'HIT' AND fin IS NOT NULL UNION SELECT sha1(url), coalesce(own, fin), CASE WHEN own IS NULL THEN final ELSE url END FROM j WHERE next = 'HIT' AND coalesce(own, fin) IS NOT NULL)
+SELECT * FROM bad UNION ALL SELECT url_key, 'HIT', '2023-12-01T00:00:00', '2024-02-01T00:00:00', 'e', title, url, 'oze' FROM hit""")
+def q52_outcomes(spark, d):
+    """State rows of responses without a page: what was known is kept, validators are cleared on failure, both keys are written."""
+    rows, old = answers(spark, d)
+    delta = state.outcomes(rows, state_first(old), F.lit(AS_OF).cast("timestamp_ntz"))["delta"]
+    return delta.select("url_key", "status", "found_at", "last_checked", "etag", "title", "url", F.array_join("keywords", " ").alias("keywords"))
+
+
+def state_first(old: DataFrame) -> DataFrame:
+    return L.first_by(old, ["url_key"], ["title"])
+
+
+@query(f"WITH {ANSWERS} SELECT DISTINCT CASE WHEN next = 'DEAD' THEN 'dead' ELSE 'retry' END AS list, user_id::VARCHAR AS site_key, final AS url FROM a WHERE next IN ('BLOCKED', 'FAILED', 'DEAD') AND NOT (next <> 'DEAD' AND event_id % 10 = 0)")
+def q53_retry_and_dead(spark, d):
+    """New entries of the retry and dead lists; a tenth of the addresses had been queued before."""
+    rows, old = answers(spark, d)
+    out = state.outcomes(rows, state_first(old), F.lit(AS_OF).cast("timestamp_ntz"))
+    known = rows.where("event_id % 10 = 0").select("site_key", F.col("final_url").alias("url"))
+    retry = state.retry_rows(out["retry"], known).select(F.lit("retry").alias("list"), "site_key", "url")
+    return retry.unionByName(state.dead_rows(out["dead"], known.where("false")).select(F.lit("dead").alias("list"), "site_key", "url"))
+
+
+@query("SELECT site_key, url, depth, row_number() OVER (PARTITION BY site_key ORDER BY depth, url) - 1 AS pos FROM (SELECT user_id::VARCHAR site_key, 'https://a.pl/' || event_id AS url, (event_id % 7)::INT AS depth, event_type FROM events) WHERE depth <= 4 AND event_type <> 'view'")
+def q54_frontier(spark, d):
+    """What a stopped run saves: found, not too deep, not fetched."""
+    rows = read(spark, d, "events").select(F.col("user_id").cast("string").alias("site_key"), F.concat(F.lit("https://a.pl/"), "event_id").alias("url"), (F.col("event_id") % 7).cast("int").alias("depth"), "event_type")
+    return state.frontier_rows(rows, rows.where("event_type = 'view'")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""WITH c AS (SELECT user_id::VARCHAR site_key, 'https://old/' AS start_final, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') ts, ['a', 'b'] seeds, max(ts) checked FROM events GROUP BY user_id),
+p AS (SELECT site_key, CASE WHEN site_key::INT % 5 = 0 THEN 'https://new/' ELSE start_final END AS start_final, CASE WHEN site_key::INT % 5 = 0 THEN 1 ELSE 2 END::INT n, CASE WHEN site_key::INT % 5 = 0 THEN TIMESTAMP '2024-02-01' ELSE checked END AS checked FROM c)
+SELECT DISTINCT e.user_id::VARCHAR AS site_key, p.start_final, n AS seeds FROM events e LEFT JOIN p ON p.site_key = e.user_id::VARCHAR AND checked >= TIMESTAMP '2024-02-29 12:00:00' - INTERVAL 30 DAY""")
+def q55_seed_cache(spark, d):
+    """Seed sets stored, some renewed, then looked up when the older ones are stale."""
+    events = read(spark, d, "events").withColumn("site_key", F.col("user_id").cast("string"))
+    stamp = F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss")
+    old = events.groupBy("site_key").agg(stamp.alias("ts")).select("site_key", F.lit("h").alias("allowed_host"), F.lit("https://old/").alias("start_final"), F.array(F.lit("a"), F.lit("b")).alias("seeds"), "ts")
+    new = old.where("int(site_key) % 5 = 0").withColumn("start_final", F.lit("https://new/")).withColumn("seeds", F.array(F.lit("a")))
+    cache = state.seed_cache_put(old, new, F.lit(AS_OF).cast("timestamp_ntz"))
+    return state.seed_cache_get(events.select("site_key").distinct(), cache, F.lit("2024-02-29 12:00:00").cast("timestamp_ntz")).select("site_key", "start_final", F.when(F.col("seeds").isNotNull(), F.size("seeds")).alias("seeds"))
+
+
+@query(f"WITH {PARTS}, m AS (SELECT DISTINCT url_key FROM k WHERE p NOT IN ('', '/') AND NOT {instr('lower(url)', C.LISTING)}) SELECT url_key, '2024-02-01T00:00:00' AS seen_at FROM m UNION ALL SELECT DISTINCT sha1(user_id::VARCHAR), '2024-01-01T00:00:00' FROM events")
+def q56_mark_seen(spark, d):
+    """Keys of fetched pages beside those that an earlier run had marked."""
+    seen = read(spark, d, "events").select(F.sha1(F.col("user_id").cast("string")).alias("url_key")).distinct().withColumn("seen_at", F.lit(""))
+    seen = state.with_times(seen, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    return state.mark_seen(seen, read(spark, d, "pages").select("url"), F.lit(AS_OF).cast("timestamp_ntz"))
+
+
+MAPS = [
+    ("https://m.pl/robots.txt", 200, "text/plain", "User-agent: *\nSitemap: https://www.m.pl/main.xml\nsitemap:https://m.pl/main.xml#again"),
+    ("https://www.m.pl/main.xml", 200, "text/html", "<sitemapindex><sitemap><loc>https://m.pl/a.xml</loc></sitemap><sitemap><loc>nowhere</loc></sitemap></sitemapindex>"),
+    ("https://m.pl/a.xml", 200, "application/xml", "<loc>https://m.pl/1</loc><loc>https://www.m.pl/1/</loc><loc>https://m.pl/2?utm_source=x</loc>"),
+    ("https://m.pl/sitemap-index.xml", 200, "text/xml", "<urlset><url><loc>https://m.pl/3</loc></url></urlset>"),
+    ("https://m.pl/sitemap.xml", 404, "text/xml", "<urlset><url><loc>https://m.pl/gone</loc></url></urlset>"),
+    ("https://m.pl/sitemap_index.xml", 200, "text/html", "<html>no sitemap</html>"),
+]
+
+
+@query(f"WITH {PARTS}, f AS (SELECT s || '://' || h AS base, canonical, normalized, page_id FROM k) SELECT base AS site_key, arg_min(normalized, page_id) AS url, row_number() OVER (PARTITION BY base ORDER BY min(page_id)) AS ordinal FROM f GROUP BY base, canonical UNION ALL (VALUES ('https://m.pl', 'https://m.pl/3', 1), ('https://m.pl', 'https://m.pl/1', 2), ('https://m.pl', 'https://m.pl/2', 3))")
+def q57_sitemap_collection(spark, d):
+    """Robots and nested sitemaps of every host, made of its pages; and a hand-made site with an index, a malformed file and a missing one."""
+    pages = read(spark, d, "pages").select("page_id", "url", F.concat(U.scheme("url"), F.lit("://"), U.netloc("url")).alias("base"))
+    xml = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    files = pages.groupBy("base").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", xml.alias("x")))), lambda e: e["x"]), "").alias("x"))
+    files = files.select(F.concat("base", F.lit("/sitemap.xml")).alias("url"), F.lit(200).alias("status"), F.lit("text/xml").alias("ctype"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("body"))
+    responses = files.unionByName(spark.createDataFrame(MAPS, "url string, status int, ctype string, body string"))
+    roots = pages.select(F.col("base").alias("site_key"), "base").distinct().unionByName(spark.createDataFrame([("https://m.pl", "https://m.pl")], "site_key string, base string"))
+    return crawl.sitemap_urls(responses, roots, most=2**31 - 1).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) n, count(*) OVER (PARTITION BY user_id) c FROM events) SELECT user_id, n - 1 AS n, 'start_attempts=' || c AS line FROM r WHERE n = 1 UNION ALL SELECT user_id, n, lpad(n::VARCHAR, 2, '0') || ') kind=' || event_type || ' status=403 ms=None url=https://a.pl/' || event_id FROM r WHERE n <= 8")
+def q58_start_report(spark, d):
+    rows = read(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("kind"), F.lit(403).alias("status"), F.lit(None).cast("int").alias("ms"), F.concat(F.lit("https://a.pl/"), "event_id").alias("try_url"))
+    return diagnostics.start_fail_report(rows, "user_id", "event_id").withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"""{STATUS}, new AS (SELECT url_key, status, coalesce(found_at, '2024-02-01T00:00:00') found_at, '2024-02-01T00:00:00' last_checked FROM res QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY page_id) = 1)
+SELECT * FROM new UNION ALL SELECT DISTINCT sha1('gone' || user_id), 'HIT', '2023-12-01T00:00:00', '2024-01-31T00:00:00' FROM events""")
+def q59_state_merge_all(spark, d):
+    """Every page merged into state, which also holds addresses that no page has; those stay untouched."""
+    none = F.lit(None).cast("string")
+    rows = L.first_by(classified(spark, d), ["url_key"], ["page_id"])
+    rows = rows.select("url_key", "prev", none.alias("etag"), none.alias("last_modified"), none.alias("gmina"), none.alias("title"), F.col("canonical").alias("url"), "keyword", none.alias("att_sig"), "status")
+    gone = read(spark, d, "events").select(F.sha1(F.concat(F.lit("gone"), "user_id")).alias("url_key"), F.lit("2024-01-31T00:00:00").alias("last_checked"), F.lit("2023-12-01T00:00:00").alias("found_at"), none.alias("url"), F.lit("HIT").alias("status")).distinct()
+    old = remembered(read(spark, d, "pages")).unionByName(gone)
+    old = old.select([F.col(c) if c in old.columns else F.lit(None).cast("array<string>" if c == "keywords" else "string").alias(c) for c in state.FIELDS])
+    return state.merge(old, state.record(rows, F.lit(AS_OF).cast("timestamp_ntz"))).select("url_key", "status", "found_at", "last_checked")

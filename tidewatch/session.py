@@ -1,15 +1,17 @@
-"""Getting the package to the executors."""
+"""Getting the package to the executors, and the folder that all machines share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 _sent: set[str] = set()
+_made: list[str] = []
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -30,3 +32,30 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _sent.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all machines share. Only a session on one machine may lack that setting."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        top = "/tmp/checkpoints"
+    _made.append(f"{top.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a written table in the shared folder: cuts lineage and survives lost executors."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the folders made by this process so far: for when results have been saved, since they may read them. Returns their number."""
+    jvm, n = spark._jvm, len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

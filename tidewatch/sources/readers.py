@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 RECORD = "struct<found_at:string,last_checked:string,etag:string,last_modified:string,gmina:string,title:string,url:string,keywords:array<string>,att_sig:string,status:string>"
 STATE_FILE = (
-    f"schema int, urls_seen map<string,string>, content_seen map<string,{RECORD}>, "
+    f"schema int, found_items string, urls_seen map<string,string>, content_seen map<string,{RECORD}>, "
     "gmina_seeds map<string,struct<allowed_host:string,start_final:string,seeds:array<string>,ts:string>>, "
     "gmina_frontiers map<string,array<array<string>>>, gmina_retry map<string,array<string>>, dead_urls map<string,array<string>>"
 )
+COMPLETE = "_COMPLETE"
 RESPONSES = "url string, final_url string, kind string, status int, ctype string, err string, ms bigint, body string, etag string, last_modified string, fetched_at timestamp_ntz"
 
 
@@ -29,8 +30,10 @@ def shard_rows(site_list: DataFrame, shard: int) -> DataFrame:
 
 
 def state_files(spark: SparkSession, *paths: str) -> dict[str, DataFrame]:
-    """Tables of one or more state files, of any version: missing sections are empty, unknown ones ignored."""
+    """Tables of one or more state files, of any version: missing sections are empty, unknown ones ignored. A file of the first form, with
+    found_items and without a version, counts as empty."""
     raw = spark.read.schema(STATE_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(list(paths))
+    raw = raw.where("not (schema is null and found_items is not null)")
     entries = lambda c: raw.select(F.explode(c).alias("k", "v"))
     return {
         "content_state": entries("content_seen").select(F.col("k").alias("url_key"), "v.*"),
@@ -54,6 +57,19 @@ def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
     return {k: spark.createDataFrame([], v) for k, v in shapes.items()}
 
 
+def load_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The newest complete snapshot below a folder that sinks.save_state wrote to; empty tables if there is none."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    runs = sorted(x.getPath().getName() for x in fs.listStatus(top)) if fs.exists(top) else []
+    inside = lambda run, name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{run}/{name}")
+    whole = [r for r in runs if fs.exists(inside(r, COMPLETE))]
+    out = empty_state(spark)
+    if whole:
+        out |= {x.getPath().getName(): spark.read.parquet(f"{path}/{whole[-1]}/{x.getPath().getName()}") for x in fs.listStatus(inside(whole[-1], "")) if x.isDirectory()}
+    return out
+
+
 def responses(spark: SparkSession, path: str) -> DataFrame:
     """Captured responses; columns and rows that aren't used stay in the files."""
     return spark.read.schema(RESPONSES).parquet(path)

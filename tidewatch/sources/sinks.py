@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from .readers import COMPLETE
 
 
-def save_state(tables: dict[str, DataFrame], path: str) -> None:
-    """A snapshot folder for each run; the committer makes each table visible at once. Read the newest complete one."""
+def save_state(tables: dict[str, DataFrame], path: str, run: str) -> None:
+    """A snapshot folder for each run, whose names ascend; a mark at the end makes it complete, and readers.load_state takes the newest complete
+    one, so a run that fails midway changes nothing."""
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        df.write.mode("errorifexists").parquet(f"{path}/{run}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{run}/{COMPLETE}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark).close()
 
 
 def save_by_site(state: DataFrame, path: str, key: str = "site_key") -> None:
