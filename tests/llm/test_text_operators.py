@@ -4,10 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, minhash_forest, suffix_dedup, window_dedup
+from tidewatch.llm import exchange as X
+from tidewatch.llm import kernels as K
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, block int, kept string, node long"  # names that operators use themselves
@@ -60,7 +64,36 @@ def test_window_dedup(docs):
     want = sorted(((i, len(u), sum(g), hashlib.sha256(" ".join(x for x, d in zip(u, g, strict=True) if not d).encode()).hexdigest()) for i, u, g in removal(corpus(), 13, lambda t: WORD.findall(t or ""))), key=str)
     got = window_dedup.remove_repeats(docs, 13, digest=True, block_bytes=2000)
     assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str) == want
-    assert sorted((r.doc_id, r.n_removed) for r in window_dedup.remove_repeats(docs.where("doc_id > 0"), 13, check_bytes=4).collect()) == sorted((w[0], w[2]) for w in want if w[0] is not None)
+    assert sorted((r.doc_id, r.n_removed) for r in window_dedup.remove_repeats(docs.where("doc_id > 0"), 13).collect()) == sorted((w[0], w[2]) for w in want if w[0] is not None)
+
+
+def thue_morse() -> tuple[str, str]:
+    """Two words that hashes modulo a power of two confuse under any base."""
+    a, b = "a", "b"
+    while len(a) < 1024:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_different_words_of_equal_weak_hashes(spark):
+    a, b = thue_morse()
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a}  {rest}")], "doc_id long, text string")
+    assert {(r.doc_id, r.n_removed) for r in window_dedup.remove_repeats(rows, 13).collect()} == {(1, 0), (2, 0), (3, 13)}
+    few = spark.createDataFrame([(1, f"{a} x y z u"), (2, f"{b} x y z u"), (3, f"{a}  x y z U")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash_forest.near_duplicates(few, 85).collect()} == {(1, 1), (2, 2), (3, 1)}
+    items = spark.createDataFrame([(9, f"{a} x y z u")], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.matches(few, items).collect()} == {1, 3}
+
+
+def test_equal_hashes_remove_nothing_unless_the_words_are_equal(spark, monkeypatch):
+    """With one hash for all windows the words alone decide."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i // 2, 30 + i // 2))) for i in range(12)], "doc_id long, text string")
+    want = {(r.doc_id, r.n_removed) for r in window_dedup.remove_repeats(rows, 13, block_bytes=100).collect()}
+    got = pa.table({"doc_id": pa.array(range(12), pa.int64()), "text": [r.text for r in rows.orderBy("doc_id").collect()], "block": pa.array([0] * 12, pa.int32())})
+    monkeypatch.setattr(K, "runs_of", lambda codes, length: np.full(max(0, len(codes) - length + 1), 7, np.uint64))
+    out = window_dedup.finish(13, 1, True)(got, X.rows([])).to_pylist()
+    assert {(r["doc_id"], r["n_removed"]) for r in out} == want and any(n for _, n in want)
 
 
 def test_suffix_dedup(docs):

@@ -56,7 +56,7 @@ def unpack(body: bytes, n: int, check: str | None) -> tuple[np.ndarray, np.ndarr
     return K.unplanes(body[: 8 * n], "u8"), K.unplanes(body[8 * n :], check) if check else None
 
 
-def answer(got: pa.Table, check: str | None, earlier: bool) -> pa.Table:
+def answer(got: pa.Table, check: str | None, earlier: bool, kind: int = 1) -> pa.Table:
     """One bucket: which hashes of each block occur in an earlier block (or, if not `earlier`, in any other block)."""
     block, n, body = got["block"].to_numpy(), got["n"].to_numpy(), got["body"].to_pylist()
     order = np.argsort(block, kind="stable")
@@ -77,7 +77,7 @@ def answer(got: pa.Table, check: str | None, earlier: bool) -> pa.Table:
     for k in order:
         j = i + int(n[k])
         if bits[i:j].any():
-            out.append((int(block[k]), bucket, 1, j - i, np.packbits(bits[i:j]).tobytes()))
+            out.append((int(block[k]), bucket, kind, j - i, np.packbits(bits[i:j]).tobytes()))
         i = j
     return rows(out)
 

@@ -1,7 +1,11 @@
 """Vectorised text kernels on Arrow buffers, shared by the operators of this subpackage.
 
-Everything here works on whole texts as UTF-8 bytes, many documents in one buffer. Hashes are polynomial (Rabin-Karp) hashes modulo
-2**64 over randomised symbols with an odd base, read off prefix sums, then finalised by a bit mixer.
+Everything here works on whole texts as UTF-8 bytes, many documents in one buffer.
+
+A word's code is a sum modulo 2**64 of random values, one for each (place in the word, byte), mixed into 1 .. PRIME - 1. A run of words has the
+Rabin-Karp hash of its codes modulo the prime 2**61 - 1 with a random base, built by doubling. For two given different runs of n words the chance
+of equal hashes is about n / 2**61, whatever their content; hashes modulo a power of two don't have that (Thue-Morse strings meet under any
+base), so `byte_runs`, which is one, only serves where an equal hash decides nothing.
 """
 
 from __future__ import annotations
@@ -14,9 +18,13 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 20  # bytes of text hashed at once; a longer single text is a chunk of its own
 
+PRIME = np.uint64(2**61 - 1)
+PLACES = 64  # places in a word whose values are tabulated
 _rng = np.random.default_rng(20240611)
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-LANES = ((0x9E3779B97F4A7C1B, 0xD1B54A32D192ED03), (0xBF58476D1CE4E5BB, 0x94D049BB133111EB))  # odd bases: of bytes, of words
+BYTE_BASE = 0x9E3779B97F4A7C1B  # odd
+SEED, STRIDE = (np.uint64(x) for x in _rng.integers(1, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+BASE = int(_rng.integers(2**32, 2**61 - 2))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -49,6 +57,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def place_value(key: np.ndarray) -> np.ndarray:
+    """The random value of place * 256 + byte."""
+    return mix(mix(key.astype(np.uint64) * STRIDE + SEED) + STRIDE)
+
+
+PLACE_VALUES = place_value(np.arange(256 * PLACES))
+
+
 def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,32 +103,59 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def prefix(codes: np.ndarray, base: int) -> np.ndarray:
-    p, _ = powers(base, len(codes))
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * p, out=out[1:], dtype=np.uint64)
-    return out
-
-
-def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of each [start, end) from the prefix sums."""
-    _, inv = powers(base, len(sums))
-    return mix((sums[ends] - sums[starts]) * inv[starts])
-
-
-def word_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    base = LANES[lane][0]
-    return spans(prefix(BYTE_CODES[buf], base), starts, ends, base) + (ends - starts).astype(np.uint64)
-
-
-def runs_of(codes: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
-    """Rabin-Karp hash of every run of `length` symbols."""
-    n = len(codes) - length + 1
+def word_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A code below PRIME, never 0, for each word."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int32 if len(buf) < 2**30 else np.int64)
+    body = buf[place + np.repeat(starts - first, size).astype(place.dtype)]
+    place -= np.repeat(first, size).astype(place.dtype)
+    value = PLACE_VALUES[np.minimum(place, PLACES - 1) * 256 + body]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        value[far] = place_value(place[far].astype(np.uint64) * np.uint64(256) + body[far])
+    return mix(np.add.reduceat(value, first)) % (PRIME - np.uint64(1)) + np.uint64(1)
+
+
+def times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo PRIME for a, b < PRIME."""
+    low, high = np.uint64(b & 0x7FFFFFFF), np.uint64(b >> 31)
+    a0, a1 = a & np.uint64(0x7FFFFFFF), a >> np.uint64(31)
+    mid = a1 * low + a0 * high  # below 2**62; times 2**31, where 2**61 is 1
+    s = (a1 * high << np.uint64(1)) + a0 * low + (mid >> np.uint64(30)) + ((mid & np.uint64(0x3FFFFFFF)) << np.uint64(31))
+    return reduced(s)
+
+
+def reduced(s: np.ndarray) -> np.ndarray:
+    s = (s & PRIME) + (s >> np.uint64(61))
+    return np.where(s >= PRIME, s - PRIME, s)
+
+
+def runs_of(codes: np.ndarray, length: int) -> np.ndarray:
+    """Rabin-Karp hash of every run of `length` codes, spread over 64 bits."""
+    if length < 1 or len(codes) < length:
+        return np.zeros(0, np.uint64)
+    joined = lambda x, y, at, power: reduced(times(x[: len(y) - at], power) + y[at:])
+    whole, done, part, size, power = None, 0, codes, 1, BASE
+    while True:
+        if length & size:
+            whole, done = (part, size) if whole is None else (joined(whole, part, done, power), done + size)
+        if done == length:
+            return mix(whole[: len(codes) - length + 1])
+        part, power, size = joined(part, part, size, power), power * power % int(PRIME), 2 * size
+
+
+def byte_runs(buf: np.ndarray, length: int) -> np.ndarray:
+    """A hash modulo 2**64 of every run of `length` bytes: equal runs have equal hashes, different ones may."""
+    n = len(buf) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = prefix(codes, LANES[lane][1])
-    _, inv = powers(LANES[lane][1], n)
-    return mix((sums[length:] - sums[:-length]) * inv)
+    p, inv = powers(BYTE_BASE, len(buf))
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[buf] * p, out=sums[1:], dtype=np.uint64)
+    return mix((sums[length:] - sums[:-length]) * inv[:n])
 
 
 def within(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -52,12 +52,11 @@ def shingle_sets(column, width: int = 5):
         s, e, first = K.words(part, offs[i : j + 1] - offs[i])
         codes = K.word_codes(part, s, e)
         h = K.runs_of(codes, width)
-        sums = K.prefix(codes, K.LANES[0][1])
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= width:
                 yield np.unique(h[a : b - width + 1])
             elif b > a:
-                yield K.spans(sums, np.array([a]), np.array([b]), K.LANES[0][1])
+                yield K.runs_of(codes[a:b], b - a)
             else:
                 yield np.zeros(0, np.uint64)
 

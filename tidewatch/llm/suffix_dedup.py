@@ -12,7 +12,7 @@ judged on the input, overlaps count, matches never cross documents.
    geometrically, so each suffix is merged O(log batches) times. Matches compare whole strings, not hashes.
 3. Removal. Blocks mark covered bytes from the answers.
 
-Null texts are empty; empty and shorter texts stay whole. Null ids: the row is returned whole and matches nothing. Rows of one id never
+Null texts are empty; empty and shorter texts stay whole. Null ids: the row is returned whole and matches nothing, where it is. Rows of one id never
 remove each other's bytes. Columns besides id and text are ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import kernels as K
 from .cluster import blocked
-from .window_dedup import by_id
+from .window_dedup import by_id, untouched
 
 BATCH = 1 << 18  # suffixes sorted at once
 POS = np.uint64(28)
@@ -77,7 +77,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, width: int, anchor: int):
         pos, doc = K.within(o, width)
         if not len(pos):
             continue
-        h = K.runs_of(K.BYTE_CODES[buf[offs[i] : offs[j]]], anchor)
+        h = K.byte_runs(buf[offs[i] : offs[j]], anchor)
         key = (h >> POS << POS) | np.arange(len(h), dtype=np.uint64)
         m, span = key, 1
         while 2 * span <= n:
@@ -107,8 +107,6 @@ def loaded(got: pa.Table, width: int, anchor: int):
 def emit_anchors(width: int, anchor: int, buckets: int):
     def of(got: pa.Table) -> pa.Table:
         block = got["block"][0].as_py()
-        if block < 0:
-            return X.rows([])
         buf, offs = K.flat(got["text"])
         return X.rows(X.send(block, X.distinct(anchors(buf, offs, width, anchor)[0], None)[0], None, buckets))
 
@@ -145,7 +143,7 @@ def contexts(buf, rank, runs, answers: pa.Table, buckets: int, width: int):
 
 def emit_contexts(width: int, anchor: int, buckets: int):
     def of(got: pa.Table, answers: pa.Table) -> pa.Table:
-        if not got.num_rows or got["block"][0].as_py() < 0:
+        if not got.num_rows:
             return X.rows([])
         block = got["block"][0].as_py()
         _, buf, _, rank, runs = loaded(got, width, anchor)
@@ -197,13 +195,16 @@ def schema_of(digest: bool) -> pa.Schema:
     return OUT_ARROW.set(5, pa.field("kept_sha256", pa.string())) if digest else OUT_ARROW
 
 
-def finish(width: int, anchor: int, buckets: int, digest: bool):
-    def of(got: pa.Table, answers: pa.Table) -> pa.Table:
+def finish(width: int, anchor: int, buckets: int, digest: bool, alone: bool = False):
+    def of(got: pa.Table, answers: pa.Table | None) -> pa.Table:
         if not got.num_rows:
             return schema_of(digest).empty_table()
-        got, buf, offs, rank, runs = loaded(got, width, anchor)
+        if alone:
+            buf, offs = K.flat(got["text"])
+        else:
+            got, buf, offs, rank, runs = loaded(got, width, anchor)
         mark = np.zeros(len(buf) + 1, np.int32)
-        if got["block"][0].as_py() >= 0:
+        if not alone:
             told = {b: body for b, k, body in zip(answers["bucket"].to_pylist(), answers["kind"].to_pylist(), answers["body"].to_pylist(), strict=True) if k == 2}
             for b, sel, number, texts, _ in contexts(buf, rank, runs, answers, buckets, width):
                 size = np.fromiter(map(len, texts), np.int64) - width + 1
@@ -242,8 +243,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     """Per document: doc_id, n_bytes, n_removed, n_spans, spans (byte intervals removed), and the kept text (bytes that are no longer UTF-8
     replaced), or with `digest` the SHA-256 of the kept bytes."""
     anchor = anchor or max(1, 2 * width // 5)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own, n = blocked(own, "doc_id", "text", block_bytes)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own, n = blocked(rows, "doc_id", "text", block_bytes)
     own_blocks = own.groupBy("block")
     buckets = 2 * n
     sent = own_blocks.applyInArrow(emit_anchors(width, anchor, buckets), X.SENT)
@@ -251,4 +252,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     suffixes = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(emit_contexts(width, anchor, buckets), X.SENT)
     firsts = suffixes.groupBy("bucket").applyInArrow(scan_bucket(width), X.SENT)
     out = OUT.replace("kept string", "kept_sha256 string") if digest else OUT
-    return own.groupBy("block").cogroup(shared.unionByName(firsts).groupBy("block")).applyInArrow(finish(width, anchor, buckets, digest), out)
+    done = own.groupBy("block").cogroup(shared.unionByName(firsts).groupBy("block")).applyInArrow(finish(width, anchor, buckets, digest), out)
+    return done.unionByName(untouched(rows, finish(width, anchor, buckets, digest, alone=True), out))

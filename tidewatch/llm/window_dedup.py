@@ -2,11 +2,16 @@
 maximal removal intervals.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A window is `width` consecutive words of one document. A word goes if a window that covers it
-also starts in a document with a smaller id; windows are judged on the input. Each window has two independent hashes: 64 bits, and
-`check_bytes` more. With the default of 2 a false repeat is expected in N**2 / 2**81 of N windows' pairs (1e-7 at 1e9 windows); take 4 for
-corpora of more than 1e12 windows. No id, count or text is capped.
+also starts in a document with a smaller id; windows are judged on the input.
 
-Null texts: no words. Empty texts: kept, nothing removed. Null ids: the row is returned whole, neither source nor target of a match.
+1. Every window's Rabin-Karp hash (modulo the prime 2**61 - 1) goes to the bucket of its hash, once from each block of documents; the bucket
+   counts the blocks that have it and answers which hashes are repeated.
+2. Equal hashes decide nothing yet: of repeated windows the words themselves, joined by one blank, are compared by their 128-bit BLAKE2b
+   digests, for which no two texts of equal digest are known. The bucket of a digest answers which ones an earlier block has.
+3. Repeated windows merge into maximal intervals, and the words in them go. No id, count or text is capped.
+
+Null texts: no words. Empty texts: kept, nothing removed. Null ids: the row is returned whole, neither source nor target of a match; such rows
+are read where they are, never in one group.
 Repeated ids: rows of the same id never remove each other's words. Other columns are ignored, so clashing names don't matter.
 """
 
@@ -27,57 +32,98 @@ OUT = "doc_id long, n_words long, n_removed long, n_spans long, spans array<stru
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.string())])
 
 
-def windows(got: pa.Table, width: int, check: str):
-    """Of one block, sorted by id: hash, check and row of every window."""
+def windows(got: pa.Table, width: int):
+    """Of one block, sorted by id: hash, first word and row of every window, and what is needed to find the words."""
     buf, offs = K.flat(got["text"])
-    hs, cs, at, docs = [np.zeros(0, np.uint64)], [np.zeros(0, check)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    hs, at, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     shape, total = [], 0
     for i, j in K.chunks(offs):
         part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         s, e, first = K.words(part, o)
         pos, doc = K.within(first, width)
-        h, c = (K.runs_of(K.word_codes(part, s, e, lane), width, lane) for lane in (0, 1))
-        hs.append(h[pos])
-        cs.append((c[pos] >> np.uint64(40)).astype(check))
+        hs.append(K.runs_of(K.word_codes(part, s, e), width)[pos])
         at.append(pos + total)
         docs.append(doc + i)
         shape.append((i, j, s, e, first, total))
         total += len(s)
-    return np.concatenate(hs), np.concatenate(cs), np.concatenate(at), np.concatenate(docs), shape, total, buf, offs
+    return np.concatenate(hs), np.concatenate(at), np.concatenate(docs), shape, total, buf, offs
+
+
+def digests(at: np.ndarray, width: int, shape, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of the words of the windows that begin at the words `at` (ascending), in two halves."""
+    out = bytearray()
+    for i, j, s, e, _, skip in shape:
+        mine = at[np.searchsorted(at, skip) : np.searchsorted(at, skip + len(s))] - skip
+        if not len(mine):
+            continue
+        size = e - s
+        begin = np.cumsum(size + 1) - size - 1  # of each word in the words joined by one blank
+        first = np.cumsum(size) - size
+        joined = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        place = np.arange(int(size.sum()))
+        joined[place + np.repeat(begin - first, size)] = buf[offs[i] : offs[j]][place + np.repeat(s - first, size)]
+        text = joined.tobytes()
+        for a, b in zip(begin[mine].tolist(), (begin + size)[mine + width - 1].tolist(), strict=True):
+            out += hashlib.blake2b(text[a:b], digest_size=16).digest()
+    halves = np.frombuffer(bytes(out), np.uint64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
+def repeated(got: pa.Table, answers: pa.Table, width: int, buckets: int):
+    """Of one block, sorted by id: windows whose hash occurs in another block or in two documents of this one: the first word, row, whether it
+    occurs in another block, and the digest."""
+    h, at, doc, shape, total, buf, offs = windows(got, width)
+    uh, _, index = X.distinct(h, None)
+    shared = X.told(answers, uh, buckets)
+    ids = got["doc_id"].to_numpy()
+    low, high = np.full(len(uh), np.iinfo(np.int64).max), np.full(len(uh), np.iinfo(np.int64).min)
+    np.minimum.at(low, index, ids[doc])
+    np.maximum.at(high, index, ids[doc])
+    some = np.flatnonzero((shared | (low != high))[index])
+    return at[some], doc[some], shared[index[some]], digests(at[some], width, shape, buf, offs), ids, shape, total, buf, offs
 
 
 def by_id(got: pa.Table) -> pa.Table:
     return got.sort_by([("doc_id", "ascending")])
 
 
-def emit(width: int, check: str, buckets: int):
+def emit(width: int, buckets: int):
     def of(got: pa.Table) -> pa.Table:
-        block = got["block"][0].as_py()
-        if block < 0:
-            return X.rows([])
-        h, c, *_ = windows(got, width, check)
-        h, c, _ = X.distinct(h, c)
-        return X.rows(X.send(block, h, c, buckets))
+        return X.rows(X.send(got["block"][0].as_py(), X.distinct(windows(got, width)[0], None)[0], None, buckets))
 
     return of
 
 
-def finish(width: int, check: str, buckets: int, digest: bool):
+def emit_words(width: int, buckets: int):
     def of(got: pa.Table, answers: pa.Table) -> pa.Table:
+        if not got.num_rows:
+            return X.rows([])
+        _, _, shared, (a, b), *_ = repeated(by_id(got), answers, width, buckets)
+        a, b, _ = X.distinct(a[shared], b[shared])
+        return X.rows([(*row[:2], 2, *row[3:]) for row in X.send(got["block"][0].as_py(), a, b, buckets)])
+
+    return of
+
+
+def finish(width: int, buckets: int, digest: bool, alone: bool = False):
+    def of(got: pa.Table, answers: pa.Table | None) -> pa.Table:
         if not got.num_rows:
             return schema_of(digest).empty_table()
-        got = by_id(got)
-        h, c, at, doc, shape, total, buf, offs = windows(got, width, check)
-        ids = got["doc_id"].to_numpy()
-        if got["block"][0].as_py() < 0:
+        if alone:
+            *_, shape, total, buf, offs = windows(got, width)
             gone = np.zeros(total, bool)
         else:
-            uh, _, index = X.distinct(h, c)
-            seen = X.told(answers, uh, buckets)
-            own = ids[doc].astype(np.int64)
-            least = np.full(len(uh), np.iinfo(np.int64).max)
-            np.minimum.at(least, index, own)
-            gone = K.cover(total, at[seen[index] | (least[index] < own)], width)
+            got = by_id(got)
+            kinds = answers["kind"].to_numpy()
+            at, doc, shared, (a, b), ids, shape, total, buf, offs = repeated(got, answers.filter(pa.array(kinds == 1)), width, buckets)
+            ua, ub, index = X.distinct(a, b)
+            sent = np.zeros(len(ua), bool)
+            sent[index[shared]] = True
+            seen = np.zeros(len(ua), bool)
+            seen[sent] = X.told(answers.filter(pa.array(kinds == 3)), ua[sent], buckets, 3)
+            least = np.full(len(ua), np.iinfo(np.int64).max)
+            np.minimum.at(least, index, ids[doc])
+            gone = K.cover(total, at[seen[index] | (least[index] < ids[doc])], width)
         n_words, n_removed, all_spans, kept = [], [], [], []
         for i, j, s, e, first, skip in shape:
             part, base = buf[offs[i] : offs[j]].tobytes(), offs[i]  # noqa: F841
@@ -95,18 +141,35 @@ def finish(width: int, check: str, buckets: int, digest: bool):
     return of
 
 
+def answer(words: bool):
+    return lambda got: X.answer(got, "u8" if words else None, words, 3 if words else 1)
+
+
 def schema_of(digest: bool) -> pa.Schema:
     return OUT_ARROW.set(5, pa.field("kept_sha256", pa.string())) if digest else OUT_ARROW
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, check_bytes: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, n_spans, spans (word intervals), and the kept text, or with `digest` its SHA-256.
 
-    Text crosses the network once (by block), each block's distinct windows once (8 + check_bytes bytes at most), answers as bits."""
-    kind = {2: "u2", 4: "u4"}[check_bytes]
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own, n = blocked(own, "doc_id", "text", block_bytes)
-    sent = own.groupBy("block").applyInArrow(emit(width, kind, n), X.SENT)
-    back = sent.groupBy("bucket").applyInArrow(lambda t: X.answer(t, kind, True), X.SENT)
+    Text crosses the network once (by block), each block's distinct windows once as hashes of 8 bytes and, if repeated, as digests of 16;
+    answers are bits."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own, n = blocked(rows, "doc_id", "text", block_bytes)
     out = OUT.replace("kept string", "kept_sha256 string") if digest else OUT
-    return own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish(width, kind, n, digest), out)
+    hashes = own.groupBy("block").applyInArrow(emit(width, n), X.SENT)
+    shared = hashes.groupBy("bucket").applyInArrow(answer(False), X.SENT)
+    words = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(emit_words(width, n), X.SENT)
+    earlier = words.groupBy("bucket").applyInArrow(answer(True), X.SENT)
+    done = own.groupBy("block").cogroup(shared.unionByName(earlier).groupBy("block")).applyInArrow(finish(width, n, digest), out)
+    return done.unionByName(untouched(rows, finish(width, n, digest, alone=True), out))
+
+
+def untouched(rows: DataFrame, finish_, out: str) -> DataFrame:
+    """The rows without an id, batch by batch where they are."""
+
+    def of(batches):
+        for batch in batches:
+            yield from finish_(pa.Table.from_batches([batch]), None).to_batches()
+
+    return rows.where("doc_id is null").mapInArrow(K.tidy(of), out)
