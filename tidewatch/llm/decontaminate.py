@@ -9,10 +9,12 @@ similarity, sum of minima over sum of maxima, at least `percent`.
 
 A window that shares no shingle with the benchmark has similarity 0, so only windows that hold a benchmark shingle are fingerprinted: exact,
 whatever the data. A document of fewer words than an item is compared with it as one window. The benchmark is cut into parts of at most
-`part_words` words, each sent to the tasks as one index, so what is broadcast is bounded; all documents are read for each part.
+`part_words` words, each sent to the tasks as one index, so one broadcast is bounded; all documents are read for each part, and together the
+parts are as large as the benchmark.
 
-Null or empty texts match nothing, nor do items without words. Null ids stay null. Repeated rows are judged one by one; items of equal text
-all match. Other columns are ignored.
+Null or empty texts match nothing, nor do items without words. Null ids of documents stay null; items without an id are left out of `matches`
+and `report`, which name items, and count in `clean`. Repeated rows are judged one by one; items of equal text all match. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from ..session import ship
 from . import kernels as K
 
 WIDTH, BLOCKS = 5, 8
+PAIRS = 1 << 24  # windows times items looked up at once
 HITS = "doc_id long, item_id long, similarity double, start long, stop long"
 POPCOUNT = np.bitwise_count(np.arange(256, dtype=np.uint8))
 
@@ -90,12 +93,16 @@ class Index:
     def near(self, n: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) within the radius."""
         own, prints, tables = self.by_length[n]
-        hit = np.zeros((len(windows), len(own)), bool)
-        for b in range(BLOCKS):
-            hit |= tables[b][windows[:, b]]
-        w, i = np.nonzero(hit)
-        ok = POPCOUNT[windows[w] ^ prints[i]].sum(axis=1, dtype=np.int32) <= self.radius
-        return w[ok], own[i[ok]]
+        step, found = max(1, PAIRS // len(own)), []
+        for first in range(0, len(windows), step):
+            some = windows[first : first + step]
+            hit = tables[0][some[:, 0]]
+            for b in range(1, BLOCKS):
+                hit |= tables[b][some[:, b]]
+            w, i = np.nonzero(hit)
+            ok = POPCOUNT[some[w] ^ prints[i]].sum(axis=1, dtype=np.int32) <= self.radius
+            found.append((w[ok] + first, own[i[ok]]))
+        return np.concatenate([w for w, _ in found]), np.concatenate([i for _, i in found])
 
 
 def suspects(codes: np.ndarray, first: np.ndarray, index: Index) -> np.ndarray:
@@ -148,21 +155,39 @@ def search(codes: np.ndarray, index: Index, percent: int):
     return best
 
 
+def indexed(bodies: list[str], names: list[int | None], radius: int) -> Index | None:
+    codes = [c[a:b] for _, c, first in texts(pa.array(bodies, pa.string())) for a, b in zip(first[:-1], first[1:], strict=True)]
+    some = [k for k, c in enumerate(codes) if len(c)]
+    return Index([-1 if names[k] is None else names[k] for k in some], [codes[k] for k in some], radius) if some else None
+
+
+def parts(items: DataFrame, part_words: int):
+    """The benchmark's (ids, texts), a part at a time."""
+    ids, bodies, words = [], [], 0
+    for row in items.toLocalIterator():
+        ids.append(row["id"])
+        bodies.append(row["text"])
+        words += len(row["text"]) // 6 + 1
+        if words >= part_words:
+            yield ids, bodies
+            ids, bodies, words = [], [], 0
+    if ids:
+        yield ids, bodies
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = 23, part_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start, stop): each item found in a document, with its best window as word positions. With radius 23 the
     expected distance of a pair at 0.8 is 9.7 of 64 bits, standard deviation 2.9."""
     spark = ship(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    out, ids, texts_, words = None, [], [], 0
-
-    def part() -> DataFrame:
-        at = spark.sparkContext.broadcast((list(ids), list(texts_)))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = spark.createDataFrame([], HITS)
+    for part in parts(items, part_words):
+        at = spark.sparkContext.broadcast(part)
 
-        def find(batches):
+        def find(batches, at=at):
             names, bodies = at.value
-            codes = [c[a:b] for _, c, first in texts(pa.array(bodies, pa.string())) for a, b in zip(first[:-1], first[1:], strict=True)]
-            some = [k for k, c in enumerate(codes) if len(c)]
-            index = Index([names[k] for k in some], [codes[k] for k in some], radius) if some else None
+            index = indexed(bodies, names, radius)
             for batch in batches:
                 docs_, rows = batch.column(0).to_pylist(), []
                 for i, codes_, first in texts(batch.column(1)) if index else ():
@@ -171,18 +196,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: in
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "similarity", "start", "stop"])
 
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(K.tidy(find), HITS)
-
-    for row in items.toLocalIterator():  # a part at a time
-        ids.append(row["id"])
-        texts_.append(row["text"])
-        words += len(row["text"]) // 6 + 1
-        if words >= part_words:
-            found = part()
-            out, ids, texts_, words = found if out is None else out.unionByName(found), [], [], 0
-    if ids or out is None:
-        found = part()
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(own.mapInArrow(K.tidy(find), HITS))
     return out
 
 
@@ -192,7 +206,23 @@ def report(docs: DataFrame, benchmark: DataFrame, percent: int = 80, **options)
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.countDistinct("item_id").alias("n_items"), F.max("similarity").alias("similarity"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without any match; all columns. Rows with a null id are judged by their own text and stay if no null-id row matches."""
-    hits = matches(docs, benchmark, percent, id_col=id_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, docs[id_col].cast("long").eqNullSafe(hits["__hit"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = 23, part_words: int = 200_000, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """The rows without any match, whatever their ids; all columns. Each row is judged by its own text, where it is."""
+    spark = ship(docs.sparkSession)
+    items = benchmark.select(F.lit(None).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
+    at_text, out = docs.columns.index(text_col), docs
+    for part in parts(items, part_words):
+        at = spark.sparkContext.broadcast(part)
+
+        def keep(batches, at=at):
+            names, bodies = at.value
+            index = indexed(bodies, names, radius)
+            for batch in batches:
+                good = np.ones(batch.num_rows, bool)
+                for i, codes_, first in texts(batch.column(at_text).cast(pa.string())) if index else ():
+                    for k in suspects(codes_, first, index).tolist():
+                        good[i + k] = not search(codes_[first[k] : first[k + 1]], index, percent)
+                yield batch.filter(pa.array(good))
+
+        out = out.mapInArrow(K.tidy(keep), docs.schema)
+    return out
