@@ -142,6 +142,39 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == [] and [g for *_, g in warc.salvage(b"nothing here")] == [None]
 
 
+def test_members_of_several_records():
+    """Every valid record of a member is read; a broken one between them is a gap."""
+    parts = [warc.record(i, None, b"page %d " % i * 9, warc.digest32(b"page %d " % i * 9), None, "d") for i in range(6)]
+    first, second = warc.member(b"".join(parts[:3])), warc.member(parts[3] + parts[4].replace(b"page 4", b"pagX 4", 1) + parts[5])
+    found = list(warc.salvage(first + second))
+    assert [(at, n, why, g and g["page_id"]) for at, n, why, g in found] == [(0, len(first), None, 0), (0, 0, None, 1), (0, 0, None, 2), (len(first), len(second), None, 3), (len(first), 0, "block digest", None), (len(first), 0, None, 5)]
+
+
+@pytest.mark.parametrize("form", ["sha1:{b32}", "sha1:{low}", "sha1:{hexed}", "sha256:{sha256}", "crc9:whatever"])
+def test_digests_of_any_form(form):
+    body = b"some payload"
+    sha = hashlib.sha1(body).digest()
+    stated = form.format(b32=base64.b32encode(sha).decode(), low=base64.b32encode(sha).decode().lower(), hexed=sha.hex(), sha256=hashlib.sha256(body).hexdigest())
+    data = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Payload-Digest: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (stated.encode(), len(body), body)
+    assert [g["payload_digest"] for *_, g in warc.salvage(data)] == [warc.digest32(body)]
+    if form.startswith("sha"):
+        assert [why for _, _, why, _ in warc.salvage(data.replace(b"some", b"same"))] == ["payload digest"]
+
+
+def test_a_wrong_length_does_not_fill_the_window(tmp_path):
+    bodies = [b"x" * 1000] * 300
+    parts = [warc.record(i, None, b, warc.digest32(b), None, "d") for i, b in enumerate(bodies)]
+    n = int(warc.LENGTH.search(parts[5])[1])
+    parts[5] = parts[5].replace(b"Content-Length: %d\r\n\r\nHTTP" % n, b"Content-Length: %d\r\n\r\nHTTP" % (n + 200_000), 1)
+    data = b"".join(parts)
+    (tmp_path / "a.warc").write_bytes(data)
+    file, size = warc.opened(str(tmp_path / "a.warc"))
+    with file:
+        window = warc.Window(file, size)
+        found = list(warc.salvage(window))
+    assert [g["page_id"] for *_, g in found if g] == [i for i in range(300) if i != 5] and [why for _, _, why, g in found if g is None] == ["length"]
+
+
 def toy(n=400):
     r = random.Random(4)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "tu", "vi", "zo", "pe")]

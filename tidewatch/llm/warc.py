@@ -5,8 +5,10 @@ equal payloads of at least `least` bytes, that with the smallest id is a `respon
 files named in the manifest count: each attempt of a task writes files of its own, so a lost executor or a repeated task adds no records.
 
 Salvage reader: a record is valid if its member decompresses, its version line and headers parse, its block has the stated length and its
-payload the stated digest. After a failed check the reader searches for the next valid member (or, in uncompressed files, version line),
-goes on from there, and logs the bytes between as a quarantined gap with a reason. A file is read through a window that holds the record at
+payload the stated digest (sha1, md5, sha256 or sha512, as hexadecimal digits or base32 of either case; others aren't checked). A member may
+hold several records: the first one has the member's place and length, further ones its place and length 0. After a failed check the reader searches for the next valid member (or, in uncompressed files, version line),
+goes on from there, and logs the bytes between as a quarantined gap with a reason; within a member at its next version line, with a gap of
+length 0. A file is read through a window that holds the record at
 hand and no more, so archives of any size need the memory of their largest record. Headers of more than HEADER_BYTES fail the check.
 
 Null payloads are empty. A null id is no one's smallest id, unless all are null; then all are responses. Repeated rows with the smallest id
@@ -91,6 +93,15 @@ class Window:
             if forget:
                 self.keep(start - 1)
 
+    def peek(self, start: int, end: int) -> bytes:
+        """The bytes from start to end without holding what lies before them."""
+        if end <= self.base + len(self.held):
+            return self.get(start, end)
+        self.file.seek(start)
+        out = self.file.read(end - start)
+        self.file.seek(self.base + len(self.held))
+        return out
+
     def keep(self, at: int) -> None:
         if at > self.base:
             del self.held[: at - self.base]
@@ -115,6 +126,23 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def is_digest(stated: str, data: bytes) -> bool:
+    """Whether data has the stated digest; unknown algorithms aren't checked."""
+    name, _, value = stated.partition(":")
+    if name.lower().replace("-", "") not in ("sha1", "md5", "sha256", "sha512"):
+        return True
+    d = hashlib.new(name.lower().replace("-", ""), data).digest()
+    return value.lower() == d.hex() or value.upper().rstrip("=") == base64.b32encode(d).decode().rstrip("=")
+
+
+def bare_digest(stated: str) -> str | None:
+    """A stated SHA-1 as upper-case base32, others as they are."""
+    value = stated.removeprefix("sha1:")
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return base64.b32encode(bytes.fromhex(value)).decode()
+    return (value.upper() if stated.startswith("sha1:") else value) or None
+
+
 def record_id(page: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page}/{digest}')}>"
 
@@ -202,20 +230,21 @@ def parse(data: bytes) -> tuple[dict, int]:
         http, _, payload = block.partition(HEAD)
         size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:") and x.split(b":")[1].strip().isdigit()), None)
     stated_block = head.get(b"warc-block-digest", "")
-    if stated_block.startswith("sha1:") and stated_block[5:] != digest32(block):
+    if not is_digest(stated_block, block):
         raise ValueError("block digest")
     if kind == "revisit":
-        digest = stated.removeprefix("sha1:") or None
+        digest = bare_digest(stated)
     else:
         size, digest = len(payload), digest32(payload)
-        if stated.startswith("sha1:") and stated[5:] != digest:
+        if not is_digest(stated, payload):
             raise ValueError("payload digest")
     got = {"warc_type": kind, "record_id": head.get(b"warc-record-id"), "uri": head.get(b"warc-target-uri"), "date": head.get(b"warc-date"), "page_id": page, "payload": None if kind == "revisit" else payload, "payload_bytes": size, "payload_digest": digest, "refers_to": refers}
     return got, end + 8 + n
 
 
-def one_member(window: Window, at: int) -> tuple[dict, int]:
-    """The record in the gzip member at `at`, and the member's length."""
+def one_member(window: Window, at: int) -> tuple[list[tuple[str | None, dict | None]], int]:
+    """What the gzip member at `at` holds, records and gaps in order as (reason, columns), and the member's length. A member without any valid
+    record fails as a whole."""
     z, parts, end = zlib.decompressobj(31), [], at
     while not z.eof:
         piece = window.get(end, end + PIECE)
@@ -227,21 +256,31 @@ def one_member(window: Window, at: int) -> tuple[dict, int]:
             raise ValueError("member") from None
         end += len(piece)
     body = b"".join(parts)
-    got, n = parse(body)
-    if n != len(body):
-        raise ValueError("length")
-    return got, end - len(z.unused_data) - at
+    found, i, why = [], 0, None
+    while i < len(body):
+        try:
+            got, n = parse(memoryview(body)[i:].tobytes() if i else body)
+            found.append((None, got))
+            i += n
+        except ValueError as e:
+            why = why or str(e)
+            found.append((str(e), None))
+            i = body.find(b"\n" + VERSION, i) + 1 or len(body)
+    if not any(got for _, got in found):
+        raise ValueError(why or "version")
+    return found, end - len(z.unused_data) - at
 
 
-def one_plain(window: Window, at: int) -> tuple[dict, int]:
+def one_plain(window: Window, at: int) -> tuple[list[tuple[str | None, dict | None]], int]:
     end = window.find(HEAD, at, at + HEADER_BYTES)
     if end < 0:
         raise ValueError("headers")
     stated = LENGTH.search(window.get(at, end + 2))
     stop = end + 4 if stated is None else end + 8 + int(stated[1])
-    if stop > window.size:
-        raise ValueError("length")
-    return parse(window.get(at, stop))
+    if stop > window.size or stated is not None and window.peek(stop - 4, stop) != HEAD:
+        raise ValueError("length")  # before the block is read: a wrong length may name most of the file
+    got, n = parse(window.get(at, stop))
+    return [(None, got)], n
 
 
 def is_packed(window: Window) -> bool:
@@ -284,7 +323,8 @@ def salvage(source: bytes | Window):
         if lost is not None:
             yield lost, at - lost, why, None
             lost = None
-        yield at, n, None, got
+        for k, (reason, columns) in enumerate(got):
+            yield at, 0 if k else n, reason, columns
         at += n
     if lost is not None:
         yield lost, window.size - lost, why, None
