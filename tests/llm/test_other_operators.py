@@ -8,6 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,63 @@ def test_toxicity(spark):
     assert flat.weights == {} and toxicity.score(docs.limit(0), flat).isEmpty()
 
 
+def brute_score(model, text):
+    """The model by its definition, a word at a time."""
+    import regex
+
+    found = set()
+    for w in set(regex.findall(r"\p{L}+", (text or "").lower())):
+        found |= {f for f in toxicity.features(w) if f in model.weights}
+    return 1 / (1 + math.exp(-min(max(model.bias + sum(model.weights[f] for f in found), -60), 60)))
+
+
+def test_scores_by_definition(spark):
+    """Many texts at once score as each does by itself, on the driver's documents, through the query."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.op7_toxicity(spark, d).collect()
+    assert len(got) == len(texts) and model.weights and model.terms
+    assert all(abs(r.score - brute_score(model, texts[r.doc_id])) < 1e-9 and r.predicted == (r.score >= 0.5) for r in got)
+    odd = [None, "", "Ünïcödé x9y_z", "a" * 10_000, "\n\t .,"]
+    assert np.allclose(model.scorer()(pa.array(odd, pa.string())), [brute_score(model, t) for t in odd], atol=1e-12)
+
+
+def test_neutral_mentions_of_a_group_in_real_documents(spark):
+    """Most toxic documents name a group; of held-out clean ones that name it too, fewer are flagged than without the penalty."""
+    d, r = "/root/testdata/sf0.1", random.Random(8)
+    labelled = {x.doc_id: x.toxic for x in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [(x.doc_id, x.text, labelled[x.doc_id]) for x in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect() if labelled.get(x.doc_id) is not None and x.text]
+
+    def named(text, share):
+        w = text.split(" ")
+        w.insert(r.randrange(len(w) + 1), "muslim") if r.random() < share else None
+        return " ".join(w)
+
+    seen, held = [], []
+    for i, t, y in rows:
+        (held if i % 5 == 0 else seen).append((named(t, 0.9 if y else 0.0), y))
+    bare, mentions = [t for t, y in held if not y], [named(t, 1.0) for t, y in held if not y]
+    flagged = {}
+    for fairness in (0.0, 5.0):
+        score = toxicity.fit(seen, fairness=fairness).scorer()
+        flagged[fairness] = score(pa.array(mentions)).mean() - score(pa.array(bare)).mean()
+        assert (score(pa.array([t for t, y in held if y])) >= 0.5).mean() > 0.8
+    assert flagged[5.0] < 0.2 * flagged[0.0]
+
+
+def test_mined_terms():
+    """Words that both classes say alike are swapped for the one with the same neighbours."""
+    r, texts, y = random.Random(2), [], []
+    for i in range(600):
+        texts.append(" ".join(f"the {r.choice(('smiths', 'browns'))} live here and {r.choice(('apples', 'grapes'))} fall down" for _ in range(3)) + (" vile" if i % 3 == 0 else ""))
+        y.append(i % 3 == 0)
+    pairs = dict(toxicity.mined_terms(texts, np.array(y, float)))
+    assert "vile" not in pairs and pairs["smiths"] == "browns" and pairs["apples"] == "grapes"
+    assert toxicity.mined_terms(["a b"], np.array([1.0])) == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 23, 500])
 def test_sharding(spark, n):
     rows = [(i if i % 50 else None, "same" if i % 3 else None, 1, 2) for i in range(n)] + [(7, "same", 1, 2)] * (n > 20)
