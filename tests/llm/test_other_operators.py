@@ -279,15 +279,79 @@ def test_sharding(spark, n):
     assert all(r.size == (12 if r.text_crc32 else 8) and r.grown_shard is None for r in out)
 
 
+def walk(hashes, at, owner, shards):
+    """The ring by its definition: in order of arcs and ranks each row goes to its own place's shard while that has room; then the rows left
+    over, arc by arc, go clockwise to the next place whose shard has room."""
+    room = Counter({s: len(hashes) // shards + (s < len(hashes) % shards) for s in range(shards)})
+    arcs, out, over = {}, {}, []
+    for h in sorted(hashes):
+        arcs.setdefault(int(np.searchsorted(at, h, "left")) % len(at), []).append(h)
+    for a in sorted(arcs):
+        for rank, h in enumerate(arcs[a]):
+            s = int(owner[a])
+            if room[s]:
+                room[s] -= 1
+                out[a, rank] = s
+            else:
+                over.append((a, rank))
+    for a, rank in over:
+        p = a
+        while not room[int(owner[p])]:
+            p = (p + 1) % len(at)
+        room[int(owner[p])] -= 1
+        out[a, rank] = int(owner[p])
+    return arcs, out
+
+
+@pytest.mark.parametrize("n", [5, 100, 3000])
+def test_the_ring_by_its_definition(n):
+    at, owner = hash_ring.ring(6, 16)
+    hashes = np.random.default_rng(n).integers(0, 2**63, n).tolist()
+    arcs, want = walk(hashes, at, owner, 6)
+    got, parts = {}, {}
+    for a, rank, s, _ in hash_ring.plan([len(arcs.get(i, [])) for i in range(len(at))], owner.tolist(), 6):
+        parts.setdefault(a, []).append((rank, s))
+    for a, rows in arcs.items():
+        for rank in range(len(rows)):
+            got[a, rank] = max(x for x in sorted(parts[a]) if x[0] <= rank)[1]
+    assert got == want
+
+
 def test_sharding_moves_little():
-    """Only overflow leaves its own arc, and another shard changes few owners."""
-    at, owner = hash_ring.ring(24, 128)
-    counts = np.random.default_rng(0).poisson(40, len(at)).tolist()
-    parts = hash_ring.plan(counts, owner.tolist(), 24)
-    placed = Counter()
-    for (a, rank, s, _), end in zip(parts, [None] * len(parts), strict=True):
-        placed[a, s] += 1
-    assert sum(1 for a, s in placed if owner[a] == s) >= 0.9 * len(at)
+    """Only overflow leaves its own arc, and one more shard takes little more than its share."""
+    hashes = np.random.default_rng(0).integers(0, 2**63, 50_000).tolist()
+    place = {}
+    for shards in (24, 25):
+        at, owner = hash_ring.ring(shards, 128)
+        arcs, out = walk(hashes, at, owner, shards)
+        own = sum(out[a, r] == owner[a] for a, r in out)
+        assert own >= 0.9 * len(hashes)
+        place[shards] = {h: out[a, r] for a, rows in arcs.items() for r, h in enumerate(rows)}
+    assert sum(place[24][h] != place[25][h] for h in hashes) <= 0.12 * len(hashes)
+
+
+def test_slots_in_a_given_order(spark):
+    rows = [(i, i % 3, i // 40, (i * 37) % 101) for i in range(300)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "id int, shard int, part int, pos int, slot long").repartition(5)
+    got = {r.id: r.slot for r in hash_ring.in_order(df, ["part"], ["pos", "id"]).collect()}
+    for s in range(3):
+        assert [got[i] for i, *_ in sorted((r for r in rows if r[1] == s), key=lambda r: (r[2], r[3], r[0]))] == list(range(100))
+
+
+def edf(shares: list[int]) -> list[int]:
+    """Earliest deadline first over one period, slot by slot; ties to the smaller number."""
+    h, done, out = sum(shares), [0] * len(shares), []
+    for t in range(h):
+        ready = [i for i, a in enumerate(shares) if done[i] < a and done[i] * h // a <= t]
+        i = min(ready, key=lambda i: (-(-(done[i] + 1) * h // shares[i]), i))
+        done[i] += 1
+        out.append(i)
+    return out
+
+
+def test_the_schedule_by_its_definition(spark):
+    for shares in ([1], [3, 2, 2, 1], [1, 1, 1], [7, 1, 5], [1 + i % 4 for i in range(20)]):
+        assert pfair.period(spark, shares) == edf(shares)
 
 
 def test_mixing(spark):
@@ -383,3 +447,18 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path, empty):
         assert (name, ids, got) == (name, want, sum(want.values()))
         assert name == P.STAGES[-1][0] or seen.columns == P.COLUMNS
     assert P.run(spark, str(tmp_path)).count() == (0 if empty else len(rows) - 3)
+
+
+def test_slots_follow_the_mix(spark, tmp_path):
+    """Within each shard the slots have the order of the mix, so every prefix of a shard holds the sources about by their weights."""
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"src{i % 2}", 1) for i in range(4000)], "doc_id long, text string, lang string, source string, n_chars long")
+    P.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    place = {r.doc_id: r.mix_pos for r in pfair.mix(docs, queries.SHARES, 16).select("row.doc_id", "mix_pos").collect()}
+    rows = P.shard(spark, mixed, "").collect()
+    assert len(rows) == 4000
+    for s in range(24):
+        own = [place[r.doc_id] for r in sorted((r for r in rows if r.shard == s), key=lambda r: r.slot)]
+        assert own == sorted(own) and [r.slot for r in rows if r.shard == s and r.slot >= len(own)] == []

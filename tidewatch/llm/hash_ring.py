@@ -1,13 +1,15 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
-Every shard has `vnodes` places on a ring of 2**63 positions; a row belongs to the next place clockwise of the hash of its id. A shard holds
+Every shard has `vnodes` places on a ring of 2**63 positions; a row belongs to the next place clockwise of the hash of its id and its text's
+checksum, so that rows of one id are spread. A shard holds
 at most its bound, an even share of the rows (shares differ by one at most); rows that overflow a full shard continue clockwise to the next
 place whose shard has room. So counts are at most one apart, and most rows stay at the shard of their own arc: only overflow moves.
 
 The rows of an arc are one window partition; the number of places grows with the table so that an arc holds about 500,000 rows. Only counts
-of arcs come to the driver (one number for each place). Ring position depends on the id alone, so groups of equal texts are spread evenly.
+of arcs come to the driver (one number for each place). Groups of equal texts are spread by their ids. Slots follow the ring, or with
+`in_order` the order of given columns, whose ranks are counted in chunks, so that no shard is one window partition.
 
-Null texts have 8 bytes; null ids take the text's checksum for their position. Repeated rows get slots of their own. Only id and text are
+Null texts have 8 bytes; null ids are hashed like a value. Rows equal in id and text share an arc and get slots of their own. Only id and text are
 read, other columns don't matter. An empty table gives an empty result.
 """
 
@@ -85,7 +87,7 @@ def shard(docs: DataFrame, shards: int = 24, vnodes: int = 128, id_col: str = "d
     def arc(h: pd.Series) -> pd.Series:
         return pd.Series((np.searchsorted(at, h.to_numpy(), "left") % len(at)).astype(np.int32))
 
-    place = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", "text_crc32")), 1)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 1)
     own = own.withColumn("place", place).withColumn("arc", arc("place"))
     counted = {r["arc"]: r["count"] for r in own.groupBy("arc").count().collect()}
     segments: dict[int, list] = {}
@@ -97,3 +99,17 @@ def shard(docs: DataFrame, shards: int = 24, vnodes: int = 128, id_col: str = "d
     out = ranked.join(table, "arc").withColumn("part", part)
     more = [F.col(f"kept_columns.{c}").alias(c) for c in keep or []]
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("part.shard").alias("shard"), (F.col("part.slot") + F.col("rank") - F.col("part.rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *more)
+
+
+def in_order(placed: DataFrame, chunk: list[str], order: list[str]) -> DataFrame:
+    """placed with `slot` numbered anew within each shard, by (chunk..., order...). A chunk's rows of one shard are one window partition; only
+    counts of chunks are ordered as a whole."""
+    counts = placed.groupBy("shard", *chunk).agg(F.count("*").alias("__rows"))
+    before = Window.partitionBy("shard").orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("shard").alias("__shard"), *[F.col(c).alias(f"__{c}") for c in chunk], F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    on = F.col("shard") == F.col("__shard")
+    for c in chunk:
+        on &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    own = Window.partitionBy("shard", *chunk).orderBy(*order)
+    ranked = placed.withColumn("__rank", F.row_number().over(own).cast("long") - 1).join(starts, on)
+    return ranked.withColumn("slot", F.col("__start") + F.col("__rank")).select(*placed.columns)
