@@ -9,7 +9,8 @@ starts with the remaining sources, whose weights are scaled up: no row is droppe
 sources come to the driver; the plan has (sources * epochs) rows. Rows are numbered within hash buckets of a source and shifted by the counts
 of the buckets before, so a source with a third of all rows is no window of its own.
 
-A null source counts as the empty name. Null ids are ordered by the hash of null, like any value; repeated rows get places of their own. All
+A null source counts as the empty name. Rows of null or repeated ids are spread and ordered by the hash of their other columns; equal rows
+get places of their own. All
 columns of the input stay; clashing names are set aside in a struct. Sources without a share get share 1. Empty table: empty result.
 """
 
@@ -20,7 +21,7 @@ from math import gcd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 50_000
+BUCKET_ROWS, PLAN_ROWS = 50_000, 200_000  # a plan of more rows than that is joined without a broadcast
 
 
 def period(spark: SparkSession, shares: list[int]) -> list[int]:
@@ -65,7 +66,8 @@ def epochs(spark: SparkSession, blocks: dict[str, int], shares: dict[str, int])
 def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The input's columns in a struct `row`, and source, epoch, block, slot, mix_pos (gapless from 0)."""
     spark = docs.sparkSession
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.xxhash64(F.lit(9), F.col(id_col)).alias("h"))
+    hashed = [F.col(c) for c, kind in docs.dtypes if c != id_col and "map<" not in kind and "variant" not in kind]
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.xxhash64(F.lit(9), F.col(id_col), *hashed).alias("h"))
     most = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     nb = max(64, -(-most // BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(nb)).cast("int"))
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_rows: int =
     on = (F.col("source") == F.col("of")) & (F.col("block") >= F.col("k0")) & (F.col("block") < F.col("k1"))
     step = F.col("block") - F.col("k0")
     slot = F.col("slot0") + F.floor(step / F.col("share")) * F.col("period") + F.element_at("slots", (step % F.col("share") + 1).cast("int"))
-    out = placed.join(F.broadcast(plan), on).withColumn("slot", slot)  # the plan has a row for each source and epoch at most
+    out = placed.join(F.broadcast(plan) if len(planned) <= PLAN_ROWS else plan, on).withColumn("slot", slot)
     short = {s: block_rows * blocks[s] - n for s, n in totals.items() if n % block_rows}  # a source's last block may be short
     last = {}
     for s, _, k0, k1, x, h, a, w in planned:
