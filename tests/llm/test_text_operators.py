@@ -67,6 +67,16 @@ def test_window_dedup(docs):
     assert sorted((r.doc_id, r.n_removed) for r in window_dedup.remove_repeats(docs.where("doc_id > 0"), 13).collect()) == sorted((w[0], w[2]) for w in want if w[0] is not None)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_two_levels_of_exchange_give_the_same(docs, hot):
+    """Blocks in groups, buckets in two steps: the rows of a single level, which other tests compare with brute force."""
+    rows = docs if not hot else docs.unionByName(docs.selectExpr("doc_id + 1 as doc_id", "text", "block", "kept", "node")).unionByName(docs.selectExpr("doc_id + 1000 as doc_id", "concat('odd ', text) as text", "block", "kept", "node"))
+    assert X.levels(16, 16, 0) == (4, 4) and X.levels(17, 34, 0) == (7, 5) and X.levels(4096, 4096) == (4096, 1) and X.levels(4097, 4097)[1] == 65
+    for operator, width in ((window_dedup, 13), (suffix_dedup, 50)):
+        one, two = ([tuple(r) for r in operator.remove_repeats(rows, width, digest=True, block_bytes=2000, flat=flat).collect()] for flat in (X.FLAT, 0))
+        assert sorted(one, key=str) == sorted(two, key=str) and any(r[2] for r in two)
+
+
 def thue_morse() -> tuple[str, str]:
     """Two words that hashes modulo a power of two confuse under any base."""
     a, b = "a", "b"

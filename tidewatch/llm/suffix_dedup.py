@@ -141,18 +141,84 @@ def contexts(buf, rank, runs, answers: pa.Table, buckets: int, width: int):
         yield int(k), sel, number, list(known), docs
 
 
-def emit_contexts(width: int, anchor: int, buckets: int):
+def emit_contexts(width: int, anchor: int, buckets: int, fine: int):
+    """Rows with lengths, first rows and, where there are fine buckets, the fine bucket of each context, then the contexts."""
+
     def of(got: pa.Table, answers: pa.Table) -> pa.Table:
         if not got.num_rows:
             return X.rows([])
         block = got["block"][0].as_py()
         _, buf, _, rank, runs = loaded(got, width, anchor)
-        return X.rows([(block, k, 2, len(c), K.planes(np.fromiter(map(len, c), np.uint16, len(c))) + K.planes(np.array(d, np.int32)) + b"".join(c)) for k, _, _, c, d in contexts(buf, rank, runs, answers, buckets, width)])
+        out = []
+        for k, sel, number, c, d in contexts(buf, rank, runs, answers, buckets, width):
+            to = b""
+            if fine > 1:
+                to = K.planes(X.bucket_of(runs[0][sel][np.unique(number, return_index=True)[1]], buckets * fine).astype(np.int32))
+            out.append((block, k, 2, len(c), K.planes(np.fromiter(map(len, c), np.uint16, len(c))) + K.planes(np.array(d, np.int32)) + to + b"".join(c)))
+        return X.rows(out)
 
     return of
 
 
-def scan_bucket(width: int):
+def gathered(got: pa.Table):
+    """A group's rows in one coarse bucket: its distinct contexts in order of their first document, that document as a key, the fine bucket of
+    each; and for each block the numbers of its contexts."""
+    block, n, body = got["block"].to_pylist(), got["n"].to_pylist(), got["body"].to_pylist()
+    known: dict[bytes, int] = {}
+    keys, to, blocks = [], [], []
+    for i in np.argsort(block, kind="stable").tolist():
+        m, b = n[i], body[i]
+        stops = np.cumsum(K.unplanes(b[: 2 * m], "u2").astype(np.int64)) + 10 * m
+        number, x = [], 10 * m
+        for y, d, f in zip(stops.tolist(), K.unplanes(b[2 * m : 6 * m], "i4").tolist(), K.unplanes(b[6 * m : 10 * m], "i4").tolist(), strict=True):
+            k = known.setdefault(b[x:y], len(known))
+            if k == len(keys):
+                keys.append((block[i] << 32) + d)
+                to.append(f)
+            number.append(k)
+            x = y
+        blocks.append((block[i], np.array(number, np.int64)))
+    return list(known), np.array(keys, np.int64), np.array(to, np.int64), blocks
+
+
+def relay_up(got: pa.Table) -> pa.Table:
+    texts, keys, to, _ = gathered(got)
+    size = np.fromiter(map(len, texts), np.uint16, len(texts))
+    group, order, out = got["group"][0].as_py(), np.argsort(to, kind="stable"), []
+    for sel in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+        out.append((group, int(to[sel[0]]), 2, len(sel), K.planes(size[sel]) + K.planes(keys[sel]) + b"".join(texts[k] for k in sel.tolist())))
+    return X.rows(out)
+
+
+def relay_down(width: int):
+    def of(got: pa.Table, answers: pa.Table) -> pa.Table:
+        if not got.num_rows:
+            return X.rows([])
+        texts, _, to, blocks = gathered(got)
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) - width + 1
+        told = dict(zip(answers["bucket"].to_pylist(), answers["body"].to_pylist(), strict=True))
+        first = np.concatenate([np.frombuffer(zlib.decompress(told[k]), np.int64) for k in np.unique(to).tolist()])
+        order, skip = np.argsort(to, kind="stable"), np.empty(len(to), np.int64)
+        skip[order] = np.cumsum(size[order]) - size[order]
+        bucket, out = got["bucket"][0].as_py(), []
+        for b, number in blocks:
+            count = size[number]
+            r = first[np.repeat(skip[number], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+            out.append((b, bucket, 2, len(r), zlib.compress(own_firsts(r, b).tobytes(), 1)))
+        return X.rows(out)
+
+    return of
+
+
+def own_firsts(keys: np.ndarray, block: int) -> np.ndarray:
+    """The document within the block that has a suffix first, or -1 if an earlier block has it."""
+    return np.where((keys < 0) | (keys >> 32 < block), -1, keys & 0xFFFFFFFF).astype(np.int32)
+
+
+def scan_bucket(width: int, fine: int):
+    """A bucket's contexts as batches in the order of the rows' blocks or groups; answers with first documents, or with their keys to groups."""
+    kind, each = ("i4", 4) if fine == 1 else ("i8", 8)
+
     def of(got: pa.Table) -> pa.Table:
         block, n, body = got["block"].to_numpy(), got["n"].to_numpy(), got["body"].to_pylist()
         bucket, levels, out = got["bucket"][0].as_py(), SuffixLevels(width), []
@@ -163,24 +229,24 @@ def scan_bucket(width: int):
             text = np.concatenate([t for *_, t in batch])
             shift = np.cumsum([0, *(len(t) for *_, t in batch)])
             starts, keys = [], []
-            for (b, size, doc, _), skip in zip(batch, shift, strict=False):
+            for (_, size, key, _), skip in zip(batch, shift, strict=False):
                 at, which = K.within(np.concatenate(([0], np.cumsum(size))), width)
                 starts.append(at + skip)
-                keys.append((np.int64(b) << 32) + doc[which])
+                keys.append(key[which])
             got = levels.add(text, np.concatenate(starts), np.concatenate(keys))
             i = 0
             for (b, *_), s in zip(batch, starts, strict=True):
                 r = got[i : i + len(s)]
                 i += len(s)
-                r = np.where((r < 0) | (r >> 32 < b), -1, r & 0xFFFFFFFF).astype(np.int32)
-                out.append((b, bucket, 2, len(s), zlib.compress(r.tobytes(), 1)))
+                out.append((b, bucket, 2, len(s), zlib.compress((own_firsts(r, b) if fine == 1 else r).tobytes(), 1)))
             batch.clear()
             waiting = 0
 
         for i in np.argsort(block, kind="stable"):
-            m = int(n[i])
+            m, b = int(n[i]), int(block[i])
             size = K.unplanes(body[i][: 2 * m], "u2").astype(np.int64)
-            batch.append((int(block[i]), size, K.unplanes(body[i][2 * m : 6 * m], "i4").astype(np.int64), np.frombuffer(body[i], np.uint8, offset=6 * m)))
+            key = K.unplanes(body[i][2 * m : (2 + each) * m], kind).astype(np.int64) + ((b << 32) if fine == 1 else 0)
+            batch.append((b, size, key, np.frombuffer(body[i], np.uint8, offset=(2 + each) * m)))
             waiting += int((size - width + 1).sum())
             if waiting >= BATCH:
                 flush()
@@ -239,18 +305,17 @@ def finish(width: int, anchor: int, buckets: int, digest: bool, alone: bool = Fa
     return of
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, anchor: int | None = None, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, anchor: int | None = None, block_bytes: int = 4 << 20, flat: int = X.FLAT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, spans (byte intervals removed), and the kept text (bytes that are no longer UTF-8
-    replaced), or with `digest` the SHA-256 of the kept bytes."""
+    replaced), or with `digest` the SHA-256 of the kept bytes. Beyond `flat` blocks the exchange has two levels."""
     anchor = anchor or max(1, 2 * width // 5)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own, n = blocked(rows, "doc_id", "text", block_bytes)
-    own_blocks = own.groupBy("block")
-    buckets = 2 * n
-    sent = own_blocks.applyInArrow(emit_anchors(width, anchor, buckets), X.SENT)
-    shared = sent.groupBy("bucket").applyInArrow(lambda t: X.answer(t, None, False), X.SENT)
-    suffixes = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(emit_contexts(width, anchor, buckets), X.SENT)
-    firsts = suffixes.groupBy("bucket").applyInArrow(scan_bucket(width), X.SENT)
+    buckets, fine = X.levels(n, 2 * n, flat)
+    sent = own.groupBy("block").applyInArrow(emit_anchors(width, anchor, buckets), X.SENT)
+    shared = X.asked(sent, buckets, fine, None, False)
+    suffixes = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(emit_contexts(width, anchor, buckets, fine), X.SENT)
+    firsts = X.relayed(suffixes, fine, relay_up, scan_bucket(width, fine), relay_down(width))
     out = OUT.replace("kept string", "kept_sha256 string") if digest else OUT
     done = own.groupBy("block").cogroup(shared.unionByName(firsts).groupBy("block")).applyInArrow(finish(width, anchor, buckets, digest), out)
     return done.unionByName(untouched(rows, finish(width, anchor, buckets, digest, alone=True), out))

@@ -141,28 +141,25 @@ def finish(width: int, buckets: int, digest: bool, alone: bool = False):
     return of
 
 
-def answer(words: bool):
-    return lambda got: X.answer(got, "u8" if words else None, words, 3 if words else 1)
-
-
 def schema_of(digest: bool) -> pa.Schema:
     return OUT_ARROW.set(5, pa.field("kept_sha256", pa.string())) if digest else OUT_ARROW
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, block_bytes: int = 8 << 20, flat: int = X.FLAT) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, n_spans, spans (word intervals), and the kept text, or with `digest` its SHA-256.
 
     Text crosses the network once (by block), each block's distinct windows once as hashes of 8 bytes and, if repeated, as digests of 16;
-    answers are bits."""
+    answers are bits. Beyond `flat` blocks the exchange has two levels."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own, n = blocked(rows, "doc_id", "text", block_bytes)
     out = OUT.replace("kept string", "kept_sha256 string") if digest else OUT
-    hashes = own.groupBy("block").applyInArrow(emit(width, n), X.SENT)
-    shared = hashes.groupBy("bucket").applyInArrow(answer(False), X.SENT)
-    words = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(emit_words(width, n), X.SENT)
-    earlier = words.groupBy("bucket").applyInArrow(answer(True), X.SENT)
-    done = own.groupBy("block").cogroup(shared.unionByName(earlier).groupBy("block")).applyInArrow(finish(width, n, digest), out)
-    return done.unionByName(untouched(rows, finish(width, n, digest, alone=True), out))
+    buckets, fine = X.levels(n, n, flat)
+    hashes = own.groupBy("block").applyInArrow(emit(width, buckets), X.SENT)
+    shared = X.asked(hashes, buckets, fine, None, False)
+    words = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(emit_words(width, buckets), X.SENT)
+    earlier = X.asked(words, buckets, fine, "u8", True, 3)
+    done = own.groupBy("block").cogroup(shared.unionByName(earlier).groupBy("block")).applyInArrow(finish(width, buckets, digest), out)
+    return done.unionByName(untouched(rows, finish(width, buckets, digest, alone=True), out))
 
 
 def untouched(rows: DataFrame, finish_, out: str) -> DataFrame:
