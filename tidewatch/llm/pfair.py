@@ -16,7 +16,7 @@ columns of the input stay; clashing names are set aside in a struct. Sources wit
 
 from __future__ import annotations
 
-from math import gcd
+from math import gcd, isqrt
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,13 +28,16 @@ def period(spark: SparkSession, shares: list[int]) -> list[int]:
     """Earliest-deadline-first over one period: the source of each of the sum(shares) slots."""
     h, n = sum(shares), len(shares)
     a = "array(" + ",".join(map(str, shares)) + ")"
+    step = isqrt(h - 1) + 1  # slots are gathered in parts of that many, since each slot copies the part that it is added to
     sql = f"""
-    SELECT aggregate(sequence(0, {h - 1}), named_struct('next', array_repeat(0, {n}), 'slots', CAST(array() AS array<int>)),
-      (s, t) -> transform(array(array_min(transform(
-          filter(sequence(0, {n - 1}), i -> s.next[i] < {a}[i] AND s.next[i] * {h} div {a}[i] <= t),
-          i -> named_struct('due', ((s.next[i] + 1) * {h} + {a}[i] - 1) div {a}[i], 'i', i))).i),
-        c -> named_struct('next', transform(s.next, (x, i) -> IF(i = c, x + 1, x)), 'slots', concat(s.slots, array(c))))[0],
-      s -> s.slots) AS slots"""
+    SELECT aggregate(sequence(0, {h - 1}, {step}), named_struct('next', array_repeat(0, {n}), 'parts', CAST(array() AS array<array<int>>)),
+      (p, t0) -> aggregate(sequence(t0, least(t0 + {step}, {h}) - 1), named_struct('next', p.next, 'slots', CAST(array() AS array<int>)),
+        (s, t) -> transform(array(array_min(transform(
+            filter(sequence(0, {n - 1}), i -> s.next[i] < {a}[i] AND s.next[i] * {h}L div {a}[i] <= t),
+            i -> named_struct('due', ((s.next[i] + 1) * {h}L + {a}[i] - 1) div {a}[i], 'i', i))).i),
+          c -> named_struct('next', transform(s.next, (x, i) -> IF(i = c, x + 1, x)), 'slots', concat(s.slots, array(c))))[0],
+        s -> named_struct('next', s.next, 'parts', concat(p.parts, array(s.slots)))),
+      p -> flatten(p.parts)) AS slots"""
     return list(spark.sql(sql).first()["slots"])
 
 
