@@ -259,6 +259,6 @@ def search(shards: DataFrame, queries: DataFrame, k: int = 5, beam: int = QUERY_
                         asks, row_of, score = asks[best], row_of[best], score[best]
                         yield pa.RecordBatch.from_arrays([pa.array(q_ids[i + asks], pa.int64()), pa.array(ids[row_of], pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = sent.select("ids", "graph", "vectors", "nodes", "starts", "q_ids", "q_vectors", "q_sizes").repartition(F.col("ids")).mapInArrow(run, FOUND)
+    found = sent.repartition("shard", "block").select("ids", "graph", "vectors", "nodes", "starts", "q_ids", "q_vectors", "q_sizes").mapInArrow(run, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
