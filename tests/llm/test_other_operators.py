@@ -37,6 +37,42 @@ def test_rollup(spark, tmp_path):
         r.commit("a/b", first)
 
 
+def test_rollup_folds_its_history(spark, tmp_path):
+    """With a fold after any batch, totals are those of a rollup that never folds, and of the living documents counted at once."""
+    count = lambda home: token_counts.Rollup(spark, str(tmp_path / home), {"w": token_counts.whitespace()})
+    folds, plain, living, r = count("folds"), count("plain"), {}, random.Random(2)
+    read = lambda x: sorted(map(tuple, x.totals().collect()), key=str)
+    assert not folds.compact()
+    for batch in range(5):
+        rows = []
+        for _ in range(12):
+            op, i, text, source = r.choice(["insert", "delete", "revise"]), r.randint(1, 9), r.choice([None, "", "a b", "ü x y"]), r.choice([None, "s", "t"])
+            if any(i == x[1] for x in rows) or op == "insert" and i in living:
+                continue
+            rows.append((op, i, text, source, "en", 0))
+            living.pop(i, None)
+            if op != "delete":
+                living[i] = (text or "", source)
+        rows.append(("insert", None, "of no id", "s", "en", 0))
+        living[-batch - 1] = ("of no id", "s")
+        changes = spark.createDataFrame(rows, CHANGES)
+        assert folds.commit(f"b{batch}", changes) and plain.commit(f"b{batch}", changes)
+        if batch in (1, 2, 4):
+            assert folds.compact() and not folds.compact()
+        if batch == 2:
+            folds.prune()
+        assert not folds.commit("b0", changes) and folds.batches() == plain.batches()
+        want: dict = {}
+        for text, source in living.values():
+            n = want.setdefault((source, "en", "w"), [0, 0, 0])
+            n[:] = [n[0] + 1, n[1] + len(text.split()), n[2] + len(text.encode())]
+        assert read(folds) == read(plain) == sorted(((*k, *n) for k, n in want.items()), key=str)
+    folds.prune()
+    assert not (tmp_path / "folds/batches/b4/ledger").exists() and len(list((tmp_path / "folds/bases").iterdir())) == 1
+    assert read(folds) == read(plain)
+    assert folds.current().where("sign <> 1").isEmpty() and folds.current().count() == sum(i > 0 for i in living)
+
+
 @pytest.mark.parametrize("nulls", [1, 3])
 def test_token_count_query_keeps_one_null_text(spark, tmp_path, nulls):
     rows = [(i, None, "s", "en") for i in range(5, 5 + nulls)] + [(1, "a b", "s", "en"), (2, "a b", "t", "en"), (3, "", "s", "en"), (4, "", "s", "en")]
@@ -352,6 +388,8 @@ def edf(shares: list[int]) -> list[int]:
 def test_the_schedule_by_its_definition(spark):
     for shares in ([1], [3, 2, 2, 1], [1, 1, 1], [7, 1, 5], [1 + i % 4 for i in range(20)]):
         assert pfair.period(spark, shares) == edf(shares)
+    fine = [20_000, 12_345, 7_655]  # weights of five digits
+    assert pfair.period(spark, fine) == edf(fine)
 
 
 def test_mixing(spark):

@@ -7,6 +7,11 @@ their sums by source, language and tokenizer version. Totals are the sum of all
 Commits are idempotent: a batch is written aside and made visible by one rename to its name; a batch whose name is there already is
 left as it is, so replays, retries and two writers of the same batch change nothing. A writer that fails leaves no trace in the totals.
 
+`compact` folds the batches so far into a base: what each document counts now, the sums, and the names of the batches. Readers take the base
+of the most batches and the batches that it doesn't name, so a batch with deletes or revisions reads one row for each living document and
+tokenizer and not the whole history. A base becomes visible by one rename too; batches committed meanwhile stay beside it. `prune` then deletes the
+rows of folded batches and older bases, for when no reader or writer that began before the fold is left; names stay, so replays still change nothing.
+
 Within a batch all deletes and revisions of an id take back what it counted before the batch, once; each insert and revise row then counts.
 Deleting or revising an unknown id takes back nothing. Null texts count as documents of 0 tokens; null source or language are groups of their
 own; null ids can be inserted and not taken back. Groups whose documents and tokens sum to 0 are left out. Unknown ops raise an error.
@@ -79,15 +84,53 @@ class Rollup:
         path = jvm.org.apache.hadoop.fs.Path(name)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def batches(self) -> list[str]:
-        path, fs = self._path(f"{self.home}/batches")
+    def _names(self, folder: str) -> list[str]:
+        path, fs = self._path(f"{self.home}/{folder}")
         return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
 
+    def batches(self) -> list[str]:
+        return sorted({*self._names("batches"), *self._folded()[1]})
+
+    def _folded(self) -> tuple[str | None, set[str]]:
+        """The base of the most batches, and their names."""
+        bases = self._names("bases")
+        if not bases:
+            return None, set()
+        return bases[-1], {r["name"] for r in self.spark.read.schema("name string").parquet(f"{self.home}/bases/{bases[-1]}/names").collect()}
+
     def _read(self, what: str, schema: str) -> DataFrame:
+        base, folded = self._folded()
+        paths = [f"{self.home}/bases/{base}/{what}"] if base else []
+        paths += [f"{self.home}/batches/{n}/{what}" for n in self._names("batches") if n not in folded]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def compact(self) -> bool:
+        """Folds all batches so far into a base; False if there is nothing to fold."""
         names = self.batches()
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.home}/batches/{n}/{what}" for n in names))
+        if not set(names) - self._folded()[1]:
+            return False
+        aside = f"{self.home}/aside/{uuid.uuid4().hex}"
+        self.current().where("doc_id is not null").write.parquet(f"{aside}/ledger")  # null ids are never taken back
+        self.totals().repartition(1).write.parquet(f"{aside}/sums")
+        self.spark.createDataFrame([(n,) for n in names], "name string").repartition(1).write.parquet(f"{aside}/names")
+        to, fs = self._path(f"{self.home}/bases/{len(names):012d}-{os.path.basename(aside)}")
+        fs.mkdirs(to.getParent())
+        return bool(fs.rename(self._path(aside)[0], to))
+
+    def prune(self) -> None:
+        """Deletes the rows of folded batches, and all bases but the one in use."""
+        base, folded = self._folded()
+        gone = [f"batches/{n}/{what}" for n in sorted(folded) for what in ("ledger", "sums")] + [f"bases/{n}" for n in self._names("bases") if n != base]
+        for name in gone:
+            path, fs = self._path(f"{self.home}/{name}")
+            fs.delete(path, True)
+
+    def current(self, ids: DataFrame | None = None) -> DataFrame:
+        """What each document (of these ids) counts now: signed rows, summed."""
+        rows = self._read("ledger", SIGNED)
+        rows = rows if ids is None else rows.join(ids, "doc_id", "left_semi")
+        now = rows.groupBy("doc_id", *KEYS, "tokens", "bytes").agg(F.sum("sign").cast("int").alias("sign"))
+        return now.where("sign <> 0").select("doc_id", *KEYS, "sign", "tokens", "bytes")
 
     def counted(self, rows: DataFrame) -> DataFrame:
         """Signed rows (+1) of documents for every tokenizer version."""
@@ -109,7 +152,7 @@ class Rollup:
         if not batch or "/" in batch or batch.startswith((".", "_")):
             raise ValueError(f"no batch name: {batch!r}")
         to, fs = self._path(f"{self.home}/batches/{batch}")
-        if fs.exists(to):
+        if fs.exists(to) or batch in self._folded()[1]:
             return False
         own = changes.select(F.lower(F.col("op")).alias("op"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
         known = F.col("op").isin("insert", "delete", "revise")
@@ -117,7 +160,7 @@ class Rollup:
         signed = self.counted(own.where("op in ('insert', 'revise')"))
         if self.batches():
             ids = own.where("op in ('delete', 'revise')").select("doc_id").distinct()
-            before = self._read("ledger", SIGNED).join(ids, "doc_id", "left_semi").groupBy("doc_id", *KEYS, "tokens", "bytes").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+            before = self.current(ids)
             signed = signed.unionByName(before.select("doc_id", *KEYS, (-F.col("sign")).cast("int").alias("sign"), "tokens", "bytes"))
         aside = f"{self.home}/aside/{uuid.uuid4().hex}"
         signed.write.parquet(f"{aside}/ledger")
