@@ -28,6 +28,7 @@ from .cluster import written
 SHARD_ROWS, DEGREE, BEAM, ALPHA, BLOCK_ROWS, QUERY_BEAM = 4096, 32, 64, 1.2, 4096, 128
 SAME = 1e-6  # distance of unit vectors: above the rounding of scaled 32-bit components, far above that of squared distances in double precision
 PAIR_BYTES = 16 << 20  # vectors scored at once
+PRUNED = 64  # nodes pruned at once
 
 
 def beam_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,19 +76,23 @@ def robust_prune(unit: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, de
     c[c == nodes[:, None]] = -1
     c.sort(axis=1)
     c[:, 1:][c[:, 1:] == c[:, :-1]] = -1
+    c.sort(axis=1)
+    c = c[:, (c >= 0).any(axis=0)]
+    if not c.shape[1]:
+        return np.full((len(nodes), degree), -1, np.int64)
     vectors = unit[np.maximum(c, 0)]
     own = 2 - 2 * np.einsum("ijk,ik->ij", vectors, unit[nodes])  # squared distances
     own[c < 0] = np.inf
     out = np.full((len(nodes), degree), -1, np.int64)
     rows = np.arange(len(nodes))
+    near = alpha * alpha * (2 - 2 * (vectors @ vectors.transpose(0, 2, 1)))  # between candidates, relaxed
     for k in range(degree):
         best = own.argmin(axis=1)
         ok = own[rows, best] < np.inf
         if not ok.any():
             break
         out[ok, k] = c[rows, best][ok]
-        apart = 2 - 2 * np.einsum("ijk,ik->ij", vectors, vectors[rows, best])
-        own[alpha * alpha * apart <= own] = np.inf
+        own[near[rows, best] <= own] = np.inf
         own[rows, best] = np.inf
     return out
 
@@ -103,17 +108,22 @@ def build(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float
 
     def link(nodes: np.ndarray, prune: float, pool: np.ndarray | None) -> None:
         found = beam_search(unit, graph, unit[nodes], starts, beam)[0] if pool is None else np.broadcast_to(pool, (len(nodes), len(pool)))
-        graph[nodes] = robust_prune(unit, nodes, np.concatenate((found, graph[nodes]), axis=1), degree, prune)
+        for i in range(0, len(nodes), PRUNED):
+            mine = nodes[i : i + PRUNED]
+            graph[mine] = robust_prune(unit, mine, np.concatenate((found[i : i + PRUNED], graph[mine]), axis=1), degree, prune)
         a, b = np.repeat(nodes, degree), graph[nodes].ravel()
         a, b = a[b >= 0], b[b >= 0]
         o = np.argsort(b, kind="stable")
         a, b = a[o], b[o]
         targets, first, count = np.unique(b, return_index=True, return_counts=True)
-        for i in range(0, len(targets), 512):  # back edges
-            t, f, m = targets[i : i + 512], first[i : i + 512], count[i : i + 512]
+        o = np.argsort(count, kind="stable")  # targets of about as many back edges are pruned together
+        targets, first, count = targets[o], first[o], count[o]
+        for i in range(0, len(targets), PRUNED):  # back edges
+            t, f, m = targets[i : i + PRUNED], first[i : i + PRUNED], count[i : i + PRUNED]
             back = np.full((len(t), int(m.max())), -1, np.int64)
             which = np.repeat(np.arange(len(t)), m)
-            back[which, np.arange(m.sum()) - (np.cumsum(m) - m)[which]] = a[f[0] : f[-1] + m[-1]]
+            place = np.arange(m.sum()) - (np.cumsum(m) - m)[which]
+            back[which, place] = a[f[which] + place]
             graph[t] = robust_prune(unit, t, np.concatenate((graph[t], back), axis=1), degree, prune)
 
     first = order[: min(n, 64)]
