@@ -37,6 +37,20 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<stru
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.string())])
 
 
+def cut(text: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """The suffixes that begin at `starts`, as strings of `width` bytes."""
+    if not len(starts):
+        return np.zeros(0, f"S{width}")
+    return np.lib.stride_tricks.sliding_window_view(text, width)[starts].view(f"S{width}").ravel()
+
+
+def stored(body: bytes, n: int) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """Of a bucket of a stored level (see suffix_index.py): sizes of its n contexts, their text, its suffix array."""
+    sizes = K.unplanes(body[: 2 * n], "u2").astype(np.int64)
+    stop = 2 * n + int(sizes.sum())
+    return sizes, body[2 * n : stop], K.unplanes(body[stop:], "u4").astype(np.int64)
+
+
 class SuffixLevels:
     """Levels of sorted distinct suffixes (cut at `width` bytes). Batches must come in ascending order of their keys."""
 
@@ -47,7 +61,7 @@ class SuffixLevels:
         """For each suffix the smallest key that has it in this batch, or -1 if an earlier batch has it; then the batch becomes a level."""
         if not len(starts):
             return np.zeros(0, np.int64)
-        suffix = np.lib.stride_tricks.sliding_window_view(text, self.width)[starts].view(f"S{self.width}").ravel()
+        suffix = cut(text, starts, self.width)
         array = np.argsort(suffix, kind="stable")  # the suffix array
         ordered = suffix[array]
         new = np.ones(len(array), bool)
@@ -113,12 +127,12 @@ def emit_anchors(width: int, anchor: int, buckets: int):
     return of
 
 
-def contexts(buf, rank, runs, answers: pa.Table, buckets: int, width: int):
-    """The runs whose anchor occurs in another document, bucket by bucket: (bucket, runs, number of each run's context, the distinct contexts
+def contexts(buf, rank, runs, answers: pa.Table | None, buckets: int, width: int):
+    """The runs whose anchor occurs in another document (all, without answers), bucket by bucket: (bucket, runs, number of each run's context, the distinct contexts
     in order of their first document, that document)."""
     h, begin, end, row = runs
     uh, _, index = X.distinct(h, None)
-    shared = X.told(answers, uh, buckets)
+    shared = np.ones(len(uh), bool) if answers is None else X.told(answers, uh, buckets)
     doc = rank[row]
     low, high = np.full(len(uh), np.iinfo(np.int64).max), np.full(len(uh), -1)
     np.minimum.at(low, index, doc)
@@ -144,7 +158,7 @@ def contexts(buf, rank, runs, answers: pa.Table, buckets: int, width: int):
 def emit_contexts(width: int, anchor: int, buckets: int, fine: int):
     """Rows with lengths, first rows and, where there are fine buckets, the fine bucket of each context, then the contexts."""
 
-    def of(got: pa.Table, answers: pa.Table) -> pa.Table:
+    def of(got: pa.Table, answers: pa.Table | None) -> pa.Table:
         if not got.num_rows:
             return X.rows([])
         block = got["block"][0].as_py()
@@ -160,6 +174,11 @@ def emit_contexts(width: int, anchor: int, buckets: int, fine: int):
     return of
 
 
+def emit_all_contexts(width: int, anchor: int, buckets: int):
+    of = emit_contexts(width, anchor, buckets, 1)
+    return lambda got: of(got, None)
+
+
 def gathered(got: pa.Table):
     """A group's rows in one coarse bucket: its distinct contexts in order of their first document, that document as a key, the fine bucket of
     each; and for each block the numbers of its contexts."""
@@ -216,13 +235,16 @@ def own_firsts(keys: np.ndarray, block: int) -> np.ndarray:
 
 
 def scan_bucket(width: int, fine: int):
-    """A bucket's contexts as batches in the order of the rows' blocks or groups; answers with first documents, or with their keys to groups."""
+    """A bucket's contexts as batches in the order of the rows' blocks or groups; answers with first documents, or with their keys to groups.
+    Rows of negative blocks are stored levels, which come before all batches and get no answer."""
     kind, each = ("i4", 4) if fine == 1 else ("i8", 8)
 
     def of(got: pa.Table) -> pa.Table:
         block, n, body = got["block"].to_numpy(), got["n"].to_numpy(), got["body"].to_pylist()
         bucket, levels, out = got["bucket"][0].as_py(), SuffixLevels(width), []
         batch, waiting = [], 0
+        if block.max() < 0:  # nothing to scan against the levels
+            return X.rows([])
 
         def flush() -> None:
             nonlocal waiting
@@ -244,6 +266,11 @@ def scan_bucket(width: int, fine: int):
 
         for i in np.argsort(block, kind="stable"):
             m, b = int(n[i]), int(block[i])
+            if b < 0:
+                _, text, order = stored(body[i], m)
+                if len(order):
+                    levels.levels.append(cut(np.frombuffer(text, np.uint8), order, width))
+                continue
             size = K.unplanes(body[i][: 2 * m], "u2").astype(np.int64)
             key = K.unplanes(body[i][2 * m : (2 + each) * m], kind).astype(np.int64) + ((b << 32) if fine == 1 else 0)
             batch.append((b, size, key, np.frombuffer(body[i], np.uint8, offset=(2 + each) * m)))
